@@ -23,8 +23,9 @@ def new_path(spark: SparkSession, label: str) -> str:
 
 
 def stable(df: DataFrame) -> DataFrame:
-    """`df` with its rows fixed on shared storage: it survives lost executors and is not computed again."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
+    """`df` as a table on shared storage: its rows are fixed, it survives lost executors, it is not computed
+    again, and later steps read only the columns they need."""
+    spark = df.sparkSession
+    path = new_path(spark, "stable")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
