@@ -80,9 +80,11 @@ def storable(df: DataFrame) -> DataFrame:
 
 
 def _span_text(name: str) -> Column:
-    part = {unit: F.expr(f"extract({unit} from `{name}`)") for unit in ("DAY", "HOUR", "MINUTE", "SECOND")}
-    whole_minutes = (part["DAY"] * 24 + part["HOUR"]) * 60 + part["MINUTE"]
-    micros = whole_minutes * 60_000_000 + (part["SECOND"] * 1_000_000).cast("long")
+    def part(unit: str, micros: int) -> Column:
+        return (F.expr(f"extract({unit} from `{name}`)") * F.lit(micros).cast("long")).cast("long")
+
+    micros = part("DAY", 86_400_000_000) + part("HOUR", 3_600_000_000) + part("MINUTE", 60_000_000)
+    micros = micros + part("SECOND", 1_000_000)
     days = F.floor(micros / 86_400_000_000).cast("long")
     rest = micros - days * 86_400_000_000
     seconds = F.floor(rest / 1_000_000).cast("long")
