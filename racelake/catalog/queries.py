@@ -66,7 +66,8 @@ def silver_race_laps(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def driver_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return summaries.driver_race_summary(silver_race_laps(spark, sf))
+    rows = stored_laps(spark, sf)
+    return summaries.driver_race_summary(laps.with_results(rows, views.race_results(rows)))
 
 
 def both_forms(summary: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -246,7 +247,7 @@ WHERE lap_time_ms IS NOT NULL""",
     "raw_laps",
 )
 def silver_laps(spark, sf):
-    clean = laps.prepare(views.raw_laps(views.race_laps(spark, sf)))
+    clean = laps.prepare(stable(views.raw_laps(views.race_laps(spark, sf))))
     names = ["lap_time_ms", "pit_in_time_ms", "pit_out_time_ms", "tyre_life", "compound", "track_status", "fresh_tyre"]
     flags = ["is_pit_in_lap", "is_pit_out_lap", "is_pit_lap", *laps.TRACK_FLAGS, "is_raining"]
     return clean.select(*laps.LAP_KEY, *names, *flags)

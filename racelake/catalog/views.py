@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from racelake.operators.ordered import add_row_number
+from racelake.sources.scratch import stable
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +18,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def race_laps(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "lineitem").select(
-        F.year("l_shipdate").alias("season"),
-        F.concat(F.lit("race_"), F.month("l_shipdate")).alias("race"),
+        F.year("l_shipdate").alias("season"), F.month("l_shipdate").alias("month"),
         "l_suppkey", "l_partkey", "l_orderkey", "l_linenumber", "l_shipdate", "l_returnflag", "l_linestatus",
         "l_quantity", "l_extendedprice", "l_discount", "l_tax",
     )
@@ -26,11 +26,11 @@ def race_laps(spark: SparkSession, sf_dir: str) -> DataFrame:
     nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     known = items.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
     order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey"]
-    laps = add_row_number(known, ["season", "race", "l_suppkey"], order, "lap")
+    laps = add_row_number(known, ["season", "month", "l_suppkey"], order, "lap")
     n, line = F.col("lap").cast("int"), F.col("l_linenumber")
     return laps.join(nations, F.col("s_nationkey") == F.col("n_nationkey")).select(
         "season",
-        "race",
+        F.concat(F.lit("race_"), F.col("month")).alias("race"),
         F.concat(F.lit("S"), F.col("l_suppkey")).alias("driver"),
         F.col("l_suppkey").cast("string").alias("driver_number"),
         F.col("n_name").alias("team_name"),
@@ -79,8 +79,9 @@ def race_results(laps: DataFrame) -> DataFrame:
         F.count("*").alias("laps"), F.min("lap_time_ms").alias("best")
     )
     race = ["season", "race"]
-    entries = entries.withColumn("fewer", -F.col("laps"))
-    placed = add_row_number(add_row_number(entries, race, ["best", "driver"], "grid"), race, ["fewer", "best", "driver"], "place")
+    entries = stable(entries.withColumn("fewer", -F.col("laps")))
+    started = add_row_number(entries, race, ["best", "driver"], "grid")
+    placed = add_row_number(started, race, ["fewer", "best", "driver"], "place")
     return placed.select(
         *race,
         F.col("driver").alias("abbreviation"),

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 # The accepted texts and the milliseconds in each unit.
 PLAIN_NUMBER = r"^\d+(\.\d+)?$"
-CLOCK = r"^(?:\d+\s+days?\s+)?(\d{2}:\d{2}:\d{2}(?:\.\d+)?)$"
+DURATION = r"^(\d+\s+days?\s+)?\d{2}:\d{2}:\d{2}(\.\d+)?$"
 DAY_MS, HOUR_MS, MINUTE_MS, SECOND_MS = 86_400_000.0, 3_600_000.0, 60_000.0, 1_000.0
 
 
@@ -15,20 +15,17 @@ def duration_ms(value: Column) -> Column:
     `1 day 00:00:01`, `0 days 00:01:27.512` and `00:01:30` are read as durations, a plain number is taken as
     milliseconds already, and everything else (blank, `NaT`, negative, one-digit hours) is null.
 
-    One regex validates and isolates the clock part; the fields then sit at fixed offsets, so no further
-    pattern is run.
+    A text with a colon can only be a duration, one without only a number, so each value meets one pattern.
+    The fields of a valid duration sit at fixed places around its first colon.
     """
     text = F.trim(value.cast("string"))
-    clock = F.regexp_extract(text, CLOCK, 1)
-    days = F.substring_index(text, "d", 1).try_cast("double")
+    colon = F.instr(text, ":")
 
     def field(start: int, length: int) -> Column:
-        return F.substring(clock, start, length).try_cast("double")
+        return text.substr(colon + start, F.lit(length)).try_cast("double")
 
-    total = (
-        F.coalesce(F.when(text.contains("d"), days), F.lit(0.0)) * DAY_MS
-        + field(1, 2) * HOUR_MS
-        + field(4, 2) * MINUTE_MS
-        + field(7, 32) * SECOND_MS
+    days = F.when(text.contains("d"), F.substring_index(text, "d", 1).try_cast("double")).otherwise(0.0)
+    total = days * DAY_MS + field(-2, 2) * HOUR_MS + field(1, 2) * MINUTE_MS + field(4, 32) * SECOND_MS
+    return F.when(colon > 0, F.when(text.rlike(DURATION), total)).otherwise(
+        F.when(text.rlike(PLAIN_NUMBER), text.try_cast("double"))
     )
-    return F.when(text.rlike(PLAIN_NUMBER), text.try_cast("double")).otherwise(total)

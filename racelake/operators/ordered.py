@@ -54,6 +54,11 @@ def heaviest_group(df: DataFrame, by: Sequence[str]) -> int:
     return df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
 
 
+def _fits(df: DataFrame, by: Sequence[str], group_rows: int | None) -> bool:
+    """Whether each group fits one task. Groups are not looked at where the whole table is small enough."""
+    return group_rows is None or df.count() <= group_rows or heaviest_group(df, by) <= group_rows
+
+
 def add_past(
     df: DataFrame, by: Sequence[str], order: Sequence[str], past: Sequence[Past], group_rows: int | None = GROUP_ROWS
 ) -> DataFrame:
@@ -61,7 +66,7 @@ def add_past(
 
     `group_rows=None` states that the caller knows every group to be small, and skips the check.
     """
-    if group_rows is None or heaviest_group(df, by) <= group_rows:
+    if _fits(df, by, group_rows):
         window = Window.partitionBy(*by).orderBy(*order)
         return df.select("*", *[p.over(window) for p in past])
 
@@ -86,7 +91,7 @@ def add_row_number(
     if not by:
         blocks = cut(df, by, order)
         return _with_table_position(blocks).select(*df.columns, (F.col("__at") + 1).alias(name))
-    if group_rows is None or heaviest_group(df, by) <= group_rows:
+    if _fits(df, by, group_rows):
         number = F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long")
         return df.select("*", number.alias(name))
 
@@ -112,7 +117,7 @@ def add_next_known(
     anew for each row.
     """
     name = name or source
-    if group_rows is None or heaviest_group(df, by) <= group_rows:
+    if _fits(df, by, group_rows):
         backwards = Window.partitionBy(*by).orderBy(*[F.col(c).desc() for c in order])
         return df.withColumn(name, _latest(source, backwards))
 

@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from racelake.functions import duration_ms, has_token, is_known, slug
+from racelake.functions import duration_ms, has_token, is_known, slug, to_double
 from racelake.operators.columns import fill, normalize_names, rename_present, stamp
 from racelake.operators.ordered import GROUP_ROWS, add_row_number
 from racelake.operators.relations import left_enrich
-from racelake.schemas import LAPS, TYPES, conform, fitted
+from racelake.schemas import LAPS, TYPES, fitted
 
 # Column names, codes and defaults.
 SILVER_NAMES = {
@@ -169,17 +169,22 @@ def prepare(laps: DataFrame, separator: str | None = ";") -> DataFrame:
     """
     named = rename_present(laps, SILVER_NAMES)
     types = dict(named.dtypes)
-    durations = {c: _milliseconds(F.col(c), types[c]) for c in DURATIONS if c in types}
-    others = {c: fitted(F.col(c), TYPES[t]) for c, t in EXTRA_TYPES.items() if c in types}
-    typed = conform(named.withColumns({**durations, **others}), LAPS)
-    timed = fill(typed.filter(F.col("lap_time_ms").isNotNull()), DEFAULTS)
-    return with_flags(timed, separator)
+
+    def typed(name: str) -> Column:
+        if name not in types:
+            return F.lit(None).cast(wanted[name])
+        if name in DURATIONS:
+            return _milliseconds(F.col(name), types[name])
+        return fitted(F.col(name), wanted[name]) if name in wanted else F.col(name)
+
+    wanted = {f.name: f.dataType for f in LAPS} | {c: TYPES[t] for c, t in EXTRA_TYPES.items()}
+    columns = [*LAPS.names, *[c for c in named.columns if c not in LAPS.names]]
+    timed = named.select(*[typed(c).alias(c) for c in columns]).filter(F.col("lap_time_ms").isNotNull())
+    return with_flags(fill(timed, DEFAULTS), separator)
 
 
 def _milliseconds(value: Column, dtype: str) -> Column:
-    if dtype == "string":
-        return duration_ms(value)
-    return F.when(value >= 0, value.cast("double"))
+    return duration_ms(value) if dtype == "string" else F.when(value >= 0, to_double(value))
 
 
 def with_flags(laps: DataFrame, separator: str | None = ";") -> DataFrame:
