@@ -66,8 +66,10 @@ def silver_race_laps(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def driver_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """From stored laps, as in a lake. Aggregated straight from the join, the laps of a driver would stay in the
+    join's partition, and a hot one could not be split."""
     rows = stored_laps(spark, sf)
-    return summaries.driver_race_summary(laps.with_results(rows, views.race_results(rows)))
+    return summaries.driver_race_summary(stable(laps.with_results(rows, views.race_results(rows))))
 
 
 def both_forms(summary: DataFrame) -> tuple[DataFrame, DataFrame]:
