@@ -23,25 +23,32 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
     return (reader.schema(schema) if schema else reader).load(path)
 
 
-def read_optional(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet") -> DataFrame:
+def read_optional(
+    spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet", skip_unreadable: bool = False
+) -> DataFrame:
     """The table, or a typed table without rows when there is none at `path`.
 
-    The stored schema is kept, as columns beyond `schema` may exist.
+    A table that is there but cannot be opened is an error, unless `skip_unreadable` treats it as absent. The
+    stored schema is kept, as columns beyond `schema` may exist.
     """
     try:
         return read_table(spark, path, fmt=fmt)
-    except AnalysisException as problem:
-        if problem.getCondition() not in ABSENT:
+    except Exception as problem:
+        if not (skip_unreadable or _is_absent(problem)):
             raise
-        log.warning("no table at %s, going on without it", path)
+        log.warning("going on without the table at %s: %s", path, str(problem).splitlines()[0])
         return spark.createDataFrame([], schema)
 
 
+def _is_absent(problem: Exception) -> bool:
+    return isinstance(problem, AnalysisException) and problem.getCondition() in ABSENT
+
+
 def read_required(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     try:
         return read_table(spark, path, fmt=fmt)
     except AnalysisException as problem:
-        if problem.getCondition() not in ABSENT:
+        if not _is_absent(problem):
             raise
         raise FileNotFoundError(f"no table at {path}") from problem
 

@@ -87,6 +87,12 @@ def test_optional_and_required_reads(spark, tmp_path):
         tables.read_required(spark, absent)
     with pytest.raises(ValueError, match="absent"):
         tables.read_all(spark, [absent])
+    broken = tmp_path / "broken"
+    broken.mkdir()
+    (broken / "part.parquet").write_text("not a table")
+    with pytest.raises(Exception, match="(?i)footer|parquet"):
+        tables.read_optional(spark, str(broken), shape)
+    assert tables.read_optional(spark, str(broken), shape, skip_unreadable=True).count() == 0
     spark.range(3).write.parquet(str(tmp_path / "t"))
     assert tables.read_optional(spark, str(tmp_path / "t"), shape).columns == ["id"]
     spark.range(2).withColumn("x", F.lit("x")).write.parquet(str(tmp_path / "u"))
