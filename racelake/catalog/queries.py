@@ -171,7 +171,8 @@ def lap_ml_table(spark, sf):
     silver = stable(silver_race_laps(spark, sf))
     summary = stable(summaries.driver_race_summary(silver))
     rows = stable(datasets.lap_dataset(silver))
-    return rounded(datasets.lap_ml_table(rows, *both_forms(summary)), *JOINED_MEANS)
+    forms = [stable(form) for form in both_forms(summary)]
+    return rounded(datasets.lap_ml_table(rows, *forms), *JOINED_MEANS)
 
 
 @query(
