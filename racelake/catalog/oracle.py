@@ -13,13 +13,14 @@ def view(name: str, *needs: str):
     return keep
 
 
-def with_views(body: str, *needs: str) -> str:
-    """`body` after a WITH clause of the views in `needs` and those under them."""
-    order: list[str] = []
+def with_views(body: str, *needs: str, instead: dict[str, str] | None = None) -> str:
+    """`body` after a WITH clause of the views in `needs` and those under them. `instead` takes a view's text from
+    another view."""
+    instead, order = instead or {}, []
 
     def visit(name: str) -> None:
         if name not in order:
-            for need in VIEWS[name][0]:
+            for need in VIEWS[instead.get(name, name)][0]:
                 visit(need)
             order.append(name)
 
@@ -27,7 +28,7 @@ def with_views(body: str, *needs: str) -> str:
         visit(need)
     if not order:
         return body.strip()
-    parts = ",\n".join(f"{name} AS (\n{VIEWS[name][1]}\n)" for name in order)
+    parts = ",\n".join(f"{name} AS (\n{VIEWS[instead.get(name, name)][1]}\n)" for name in order)
     return f"WITH {parts}\n{body.strip()}"
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from racelake.catalog import views
-from racelake.catalog.oracle import with_views
+from racelake.catalog.oracle import view, with_views
 from racelake.functions import duration_ms, has_token, slug
 from racelake.operators.columns import normalize_names, prefix_only, stamp
 from racelake.operators.encode import dummies
@@ -922,6 +922,28 @@ def lake_season_results(spark, sf):
     return lake.read("gold", "race_features")
 
 
+view("lake_silver", "raw_laps", "race_weather", "race_results")(f"""
+SELECT d.season, d.race, d.driver, d.lap_number, l.driver_number, l.lapstartdate, d.lap_time_ms,
+       CAST(NULL AS INT) AS position, CAST(NULL AS INT) AS stint, coalesce(d.compound, 'UNKNOWN') AS compound,
+       CAST(d.tyrelife AS INT) AS tyre_life, coalesce(TRY_CAST(d.freshtyre AS BOOLEAN), false) AS fresh_tyre,
+       d.pit_in IS NOT NULL AS is_pit_in_lap, d.pit_out IS NOT NULL AS is_pit_out_lap,
+       (d.pit_in IS NOT NULL OR d.pit_out IS NOT NULL) AS is_pit_lap, {_TRACK_SQL},
+       coalesce(w.rainfall, false) AS is_raining, w.airtemp AS air_temp, w.humidity, w.pressure,
+       w.tracktemp AS track_temp, w.winddirection AS wind_direction, w.windspeed AS wind_speed,
+       r.gridposition AS grid_position, r.position AS finish_position, r.status AS race_status, r.teamname AS team_name
+FROM (SELECT *, {_duration_sql("laptime")} AS lap_time_ms, {_duration_sql("pitintime")} AS pit_in,
+             {_duration_sql("pitouttime")} AS pit_out FROM raw_laps) d
+JOIN race_laps l ON d.season = l.season AND d.race = l.race AND d.driver = l.driver AND d.lap_number = l.lap_number
+LEFT JOIN race_weather w ON d.season = w.season AND d.race = w.race AND d.driver = w.driver
+     AND d.lap_number = w.lap_number
+LEFT JOIN race_results r ON d.season = r.season AND d.race = r.race AND d.driver = r.abbreviation
+WHERE d.lap_time_ms IS NOT NULL
+""")
+ORACLES["lake_laps"] = with_views(
+    _LAP_ML_SQL, "next_compound", "driver_form", "constructor_form", instead={"silver_race_laps": "lake_silver"}
+)
+
+
 @query("lake_laps")
 def lake_laps(spark, sf):
     """Raw session tables of every season and race through all layers to the lap table for models."""
@@ -943,4 +965,4 @@ def lake_laps(spark, sf):
     write_raw_session(lake, "lap_weather", raw(views.race_weather(rows)))
     write_raw_session(lake, "results", raw(views.race_results(rows)))
     run_laps(lake)
-    return lake.read("gold", "lap_ml_table")
+    return rounded(lake.read("gold", "lap_ml_table"), *JOINED_MEANS)
