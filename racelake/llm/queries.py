@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from racelake.llm import language, lines, mixing, quality
+from racelake.llm import language, lines, mixing, quality, repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -123,3 +123,28 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder).withColumn("held_out", held_out(4))
     model = language.fit(docs.filter(~F.col("held_out")))
     return language.identify_languages(docs.select("doc_id", "held_out", "text"), model).drop("text")
+
+
+@query(
+    r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (
+    SELECT doc_id, unnest(range(1, len(w) - 33)) AS pos,
+           unnest(list_transform(range(1, len(w) - 33), lambda k: md5(array_to_string(w[k:k + 34], ' ')))) AS gram
+    FROM w WHERE len(w) >= 35),
+t AS (SELECT doc_id, pos, count(*) OVER (PARTITION BY gram) AS n FROM g),
+
+x AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM w),
+last AS (
+    SELECT x.doc_id, x.pos, word, max(t.pos) OVER (PARTITION BY x.doc_id ORDER BY x.pos) AS begun
+    FROM x LEFT JOIN (SELECT * FROM t WHERE n >= 2) t USING (doc_id, pos)),
+m AS (SELECT *, coalesce(begun > pos - 35, false) AS gone FROM last)
+SELECT w.doc_id, count(m.pos)::BIGINT AS n_words, count(*) FILTER (WHERE gone)::BIGINT AS n_removed,
+       sha256(coalesce(string_agg(word, ' ' ORDER BY m.pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM w LEFT JOIN m USING (doc_id) GROUP BY w.doc_id
+"""
+)
+def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.remove_repeats(documents(spark, folder)).select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256")
+    )
