@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from racelake.llm import interpolation, language, lines, mixing, quality, repeats
+from racelake.llm import interpolation, jaccard, language, lines, mixing, quality, repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -156,3 +156,8 @@ def op7_interpolated_lm(spark: SparkSession, folder: str) -> DataFrame:
     # Of the training texts, those that leave 3 set the mixture weights.
     scored = interpolation.score_texts(documents(spark, folder), F.coalesce(part != 2, F.lit(True)), part == 3)
     return scored.select("doc_id", held_out(7).alias("held_out"), *scored.columns[1:])
+
+
+@query()
+def op8_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.jaccard_groups(documents(spark, folder))
