@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from racelake.llm import interpolation, jaccard, language, lines, mixing, quality, repeats
+from racelake.llm import interpolation, jaccard, language, lines, mixing, pieces, quality, repeats, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -161,3 +161,23 @@ def op7_interpolated_lm(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op8_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.jaccard_groups(documents(spark, folder))
+
+
+@query()
+def op5_sentence_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    encoded = pieces.encode_texts(documents(spark, folder).select("doc_id", "text"))
+    whole = pieces.decode_pieces(encoded)
+    return whole.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_pieces"),
+        F.xxhash64("ids").alias("ids_hash"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"),
+    )
+
+
+@query()
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet")
+    scored = toxicity.fit_chain(docs, labels).score(docs.select("doc_id", "text"))
+    return scored.select("doc_id", "p_quality", "p_toxic", (F.col("p_toxic") >= 0.5).alias("toxic"))
