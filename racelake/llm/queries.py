@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from racelake.llm import interpolation, jaccard, language, lines, mixing, pieces, quality, repeats, toxicity
+from racelake.llm import interpolation, jaccard, language, lines, mixing, neighbours, pieces, quality, repeats, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -181,3 +181,9 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet")
     scored = toxicity.fit_chain(docs, labels).score(docs.select("doc_id", "text"))
     return scored.select("doc_id", "p_quality", "p_toxic", (F.col("p_toxic") >= 0.5).alias("toxic"))
+
+
+@query()
+def op1_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{folder}/embeddings.parquet")
+    return neighbours.near_duplicate_vectors(vectors).select("vec_id", "n_links", "component_id", "kept")
