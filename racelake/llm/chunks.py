@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from racelake.llm.words import row_slices
 from racelake.sources.scratch import new_path
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 3 << 20
 CHUNK_SCHEMA = "chunk bigint, payload binary"
 ASK_SCHEMA = "bucket int, chunk bigint, keys binary, counts binary"
 REPLY_SCHEMA = "chunk bigint, bucket int, counts binary"

@@ -15,6 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UNKNOWN = "und"
+#: Where a margin is narrow, sizes are summed over these levels too: a size is a whole number of bytes, so the sizes of
+#: a short text differ by few steps.
+FINER = (1, 5, 12, 19)
 RESULT = "lang_pred string, score double, rejected boolean"
 
 
@@ -27,34 +30,41 @@ class LanguageModel:
     piece_bytes: int = 1024
     level: int = 9
     min_margin: float = 0.001
-    _compressors: dict[str, zstandard.ZstdCompressor] = field(default_factory=dict, repr=False)
+    _compressors: dict[tuple[str, int], zstandard.ZstdCompressor] = field(default_factory=dict, repr=False)
 
     def __getstate__(self) -> dict:
         return {**self.__dict__, "_compressors": {}}
 
-    def sizes(self, text: str) -> list[tuple[int, str]]:
-        """Compressed size for each language, smallest first; ties go to the name that sorts first."""
-        if not self._compressors:
-            for name, content in sorted(self.dictionaries.items()):
-                data = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                data.precompute_compress(level=self.level)
-                self._compressors[name] = zstandard.ZstdCompressor(
-                    level=self.level, dict_data=data, write_content_size=False
-                )
+    def sizes(self, text: str, levels: Sequence[int]) -> list[tuple[int, str]]:
+        """Compressed size for each language, smallest first, summed over `levels`; ties go to the name that sorts
+        first."""
         raw = text.lower().encode("utf-8", "surrogatepass")
-        pieces = [raw[i : i + self.piece_bytes] for i in range(0, len(raw), self.piece_bytes)]
-        return sorted((sum(len(c.compress(p)) for p in pieces), name) for name, c in self._compressors.items())
+        parts = [raw[i : i + self.piece_bytes] for i in range(0, len(raw), self.piece_bytes)]
+        ways = {name: [self._compressor(name, level) for level in levels] for name in sorted(self.dictionaries)}
+        return sorted((sum(len(c.compress(p)) for c in way for p in parts), name) for name, way in ways.items())
+
+    def _compressor(self, name: str, level: int) -> zstandard.ZstdCompressor:
+        if (name, level) not in self._compressors:
+            data = zstandard.ZstdCompressionDict(self.dictionaries[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            data.precompute_compress(level=level)
+            self._compressors[name, level] = zstandard.ZstdCompressor(
+                level=level, dict_data=data, write_content_size=False
+            )
+        return self._compressors[name, level]
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, relative margin over the runner-up, and whether the choice is rejected."""
         if not self.dictionaries or text is None or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0, True
-        ranked = self.sizes(text)
-        if len(ranked) == 1:
-            return ranked[0][1], 1.0, False
-        (best, name), (second, _) = ranked[:2]
-        margin = 1.0 - best / second
-        return name, margin, margin < self.min_margin
+        for levels in ([self.level], [self.level, *FINER]):
+            ranked = self.sizes(text, levels)
+            if len(ranked) == 1:
+                return ranked[0][1], 1.0, False
+            (best, name), (second, _) = ranked[:2]
+            margin = 1.0 - best / second
+            if margin >= self.min_margin:
+                return name, margin, False
+        return name, margin, True
 
 
 def fit(
