@@ -1,0 +1,139 @@
+"""Quality rules, line and substring de-duplication, language."""
+
+from __future__ import annotations
+
+import random
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from racelake.llm import language, lines, quality, repeats
+from corpus import SYLLABLES, collected, documents, sentence, words
+
+
+def repeated_words(tokens: list[str], size: int) -> int:
+    grams = [tuple(tokens[i : i + size]) for i in range(len(tokens) - size + 1)]
+    count = Counter(grams)
+    return len({i + k for i, g in enumerate(grams) if count[g] > 1 for k in range(size)})
+
+
+def test_measures_match_brute_force(spark):
+    rng = random.Random(1)
+    part = sentence(rng, 9)
+    rows = [(1, f"{part} {sentence(rng, 20)} {part}\nab\nab\n\n \n# $5|", "en", "s"), (2, "ab " * 40, "en", "s")]
+    docs = documents(spark).unionByName(documents(spark, rows))
+    got = collected(quality.apply_rules(docs), "text", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    assert len(got) == docs.count()
+    for text, n_words, chars, symbols, dup, repeat in got:
+        tokens, kept = words(text), [x for x in (text or "").split("\n") if words(x)]
+        assert (n_words, chars) == (len(tokens), sum(map(len, tokens)))
+        assert symbols == sum(c in "#*$%&|<>" for c in text or "")
+        assert dup == len(kept) - len(set(kept))
+        assert repeat == repeated_words(tokens, 8)
+
+
+def test_rules_are_one_projection_without_functions_of_the_user(spark):
+    plan = quality.apply_rules(documents(spark))._jdf.queryExecution().executedPlan().toString()
+    assert not any(word in plan for word in ("Python", "Pandas", "Arrow", "Exchange"))
+
+
+def test_rule_bounds_and_base(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    rules = [quality.Rule("few", "n_words", most=29), quality.Rule("share", "n_symbols", "n_lines", least=0.5)]
+    docs = documents(spark, [(1, text, "en", "s"), (2, "the cat", "en", "s"), (3, None, None, None)])
+    got = dict((i, (b, k, f)) for i, b, k, f in collected(quality.apply_rules(docs, rules), "doc_id", "broken", "kept", "base_failed"))
+    assert got[1] == (["few", "share"], False, False)
+    assert got[2][1:] == (False, True) and got[3][1:] == (False, True)
+    assert quality.apply_rules(docs.limit(0)).count() == 0
+
+
+def lines_by_hand(rows, min_chars=40, min_docs=5):
+    fold = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate(fold)
+    holders = defaultdict(list)
+    for i, text in rows:
+        for k in {key(x) for x in (text or "").split("\n")}:
+            holders[k].append(i)
+    out = []
+    for i, text in rows:
+        kept = []
+        for x in (text or "").split("\n"):
+            who = holders[key(x)]
+            named = [w for w in who if w is not None]
+            keeper = max(named) if named else None
+            if len(key(x)) < min_chars or len(who) < min_docs or keeper == i:
+                kept.append(x)
+        out.append((i, len((text or "").split("\n")), len((text or "").split("\n")) - len(kept), "\n".join(kept)))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("batches, fanout", [(1, 4), (3, 2), (6, 2)])
+def test_line_dedup(spark, batches, fanout):
+    docs = documents(spark)
+    got = collected(lines.dedup_lines(docs, batches=batches, fanout=fanout), "doc_id", "n_lines", "n_dropped", "text")
+    expected = lines_by_hand(collected(docs, "doc_id", "text"))
+    assert sorted(got, key=repr) == expected
+    assert any(r[2] for r in expected)
+
+
+def test_line_dedup_keeps_columns_and_stands_an_empty_table(spark):
+    docs = documents(spark).withColumn("n_dropped", F.lit("clash"))
+    assert lines.dedup_lines(docs).columns == [*documents(spark).columns, "n_lines", "n_dropped"]
+    assert lines.dedup_lines(docs.limit(0)).count() == 0
+
+
+def test_line_runs_are_compacted(spark):
+    index = lines.LineIndex(spark, fanout=2)
+    for ids in ((9, 8), (7,), (6,), (5,)):
+        batch = documents(spark, [(i, "l" * 50 + f"\n{i}" + "m" * 50, "en", "s") for i in ids])
+        index.add(lines.line_counts(batch, "doc_id", "text", 40))
+    assert [len(level) for level in index.levels] == [0, 0, 1]
+    assert sorted((n, k) for n, k in collected(index.merged(), "n", "keeper")) == [(1, 5), (1, 6), (1, 7), (1, 8), (1, 9), (5, 9)]
+    index.close()
+
+
+def repeats_by_hand(rows, size):
+    starts = Counter(tuple(w[i : i + size]) for _, t in rows for w in [words(t)] for i in range(len(w) - size + 1))
+    out = []
+    for i, text in rows:
+        w = words(text)
+        gone = {j + k for j in range(len(w) - size + 1) if starts[tuple(w[j : j + size])] > 1 for k in range(size)}
+        out.append((i, len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone)))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("size", [3, 35])
+def test_substring_dedup(spark, size):
+    docs = documents(spark)
+    got = repeats.remove_repeats(docs, size=size)
+    expected = repeats_by_hand(collected(docs, "doc_id", "text"), size)
+    assert sorted(collected(got, "doc_id", "n_words", "n_removed", "text"), key=repr) == expected
+    for removed, spans in collected(got, "n_removed", "spans"):
+        assert removed == sum(b - a for a, b in spans)
+        assert all(x[1] < y[0] for x, y in zip(spans, spans[1:], strict=False))
+    assert repeats.remove_repeats(docs.limit(0)).count() == 0
+
+
+def test_language_is_learned_and_rejected(spark):
+    rng = random.Random(3)
+    halves = {"aa": SYLLABLES[:8], "bb": SYLLABLES[8:]}
+    make = lambda lang, n: " ".join("".join(rng.choices(halves[lang], k=2)) for _ in range(n))
+    train = documents(spark, [(i, make(lang, 60), lang, "s") for i, lang in enumerate(["aa", "bb"] * 40)] + [(99, "zz", None, "s")])
+    model = language.fit(train)
+    assert sorted(model.dictionaries) == ["aa", "bb"]
+    rows = [(i, make(lang, 25), lang, "s") for i, lang in enumerate(["aa", "bb"] * 30)]
+    rows += [(100, None, "aa", "s"), (101, "12 ## 7", "aa", "s"), (102, "", "aa", "s"), (103, "a" * 100_000, "aa", "s")]
+    got = collected(language.identify_languages(documents(spark, rows), model), "doc_id", "lang", "lang_pred", "score", "rejected")
+    assert len(got) == len(rows)
+    assert all(p == lang and not no for i, lang, p, s, no in got if i < 100)
+    assert all((p, s, no) == ("und", 0.0, True) for i, _, p, s, no in got if 100 <= i <= 102)
+    assert all(0 <= s <= 1 for *_, s, _ in got)
+
+
+def test_language_without_labels(spark):
+    model = language.fit(documents(spark, [(1, "text", None, "s")]))
+    got = collected(language.identify_languages(documents(spark), model), "lang_pred", "rejected")
+    assert set(got) == {("und", True)}
+
+
