@@ -17,7 +17,7 @@ from racelake.functions import duration_ms, has_token, slug
 from racelake.operators.columns import normalize_names, prefix_only, stamp
 from racelake.operators.encode import dummies
 from racelake.operators.metrics import binary_metrics, class_report, confusion_matrix
-from racelake.operators.ordered import Past, add_past
+from racelake.operators.ordered import Past, add_past, add_row_number
 from racelake.operators.relations import (
     describe,
     distinct_values,
@@ -55,8 +55,9 @@ def query(name: str, sql: str | None = None, *needs: str):
 # Race tables -------------------------------------------------------------------------------------------------
 
 
-def stored_laps(spark: SparkSession, sf: str) -> DataFrame:
-    return stable(views.race_laps(spark, sf))
+def stored_laps(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    """The lap table, or those of its columns that later steps read."""
+    return stable(views.race_laps(spark, sf).select(*(columns or ["*"])))
 
 
 def silver_race_laps(spark: SparkSession, sf: str) -> DataFrame:
@@ -68,8 +69,11 @@ def silver_race_laps(spark: SparkSession, sf: str) -> DataFrame:
 def driver_summary(spark: SparkSession, sf: str) -> DataFrame:
     """From stored laps, as in a lake. Aggregated straight from the join, the laps of a driver would stay in the
     join's partition, and a hot one could not be split."""
-    rows = stored_laps(spark, sf)
-    return summaries.driver_race_summary(stable(laps.with_results(rows, views.race_results(rows))))
+    rows = stored_laps(
+        spark, sf, *laps.LAP_KEY, "driver_number", "team_name", "lapstartdate", "lap_time_ms", "is_pit_lap"
+    )
+    joined = laps.with_results(rows, views.race_results(rows))
+    return summaries.driver_race_summary(stable(joined.drop("driver_number")))
 
 
 def both_forms(summary: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -144,6 +148,22 @@ def next_known_compound(spark, sf):
     return datasets.known_compound(stable(lap_prediction_dataset(spark, sf)))
 
 
+@query("next_known_blocks", "SELECT * FROM next_compound", "next_compound")
+def next_known_blocks(spark, sf):
+    return datasets.known_compound(stable(lap_prediction_dataset(spark, sf)), split=True)
+
+
+@query(
+    "row_number_blocks",
+    "SELECT o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderdate, o_orderkey) AS n "
+    "FROM orders",
+)
+def row_number_blocks(spark, sf):
+    orders = views.table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate")
+    numbered = add_row_number(orders, ["o_orderstatus"], ["o_orderdate", "o_orderkey"], "n", split=True)
+    return numbered.select("o_orderkey", "o_orderstatus", "n")
+
+
 _LAP_ML_SQL = f"""
 SELECT * REPLACE ({", ".join(f"CAST({c} AS INT) AS {c}" for c in datasets.LAP_FLAGS if not c.startswith("last"))},
          coalesce(tyre_life, 0) AS tyre_life, coalesce(stint, 1) AS stint,
@@ -317,7 +337,7 @@ LEFT JOIN constructor_stats c ON r.constructor_id = c.constructor_id""",
     "constructor_stats",
 )
 def season_prediction_dataset(spark, sf):
-    rows = views.season_results(spark, sf)
+    rows = stable(views.season_results(spark, sf))
     return results.season_dataset(results.race_features(rows), results.driver_stats(rows), results.constructor_stats(rows))
 
 
@@ -335,7 +355,7 @@ SELECT result_id, code, date, avg(position) OVER ({_W} 3 PRECEDING AND 1 PRECEDI
 FROM season_results""",
     "season_results",
 )
-def driver_history(spark, sf):
+def driver_history(spark, sf, split=False):
     past = [
         Past("avg_position_last_3", "position", 3),
         Past("avg_gain_last_5", "position_gain", 5),
@@ -344,10 +364,15 @@ def driver_history(spark, sf):
     ]
     rows = results.race_features(views.season_results(spark, sf))
     needed = rows.select("result_id", "code", "date", "position", "position_gain", "finished_top_10", "points")
-    known = add_past(needed, ["code"], ["date", "result_id"], past)
+    known = add_past(needed, ["code"], ["date", "result_id"], past, split)
     return known.select("result_id", "code", "date", *[p.name for p in past])
 
 
+@query("driver_history_blocks", ORACLES["driver_history"])
+def driver_history_blocks(spark, sf):
+    return driver_history(spark, sf, split=True)
+
+
 _FLAT_SQL = "SELECT * EXCLUDE (result_id) FROM flat_results"
 
 
@@ -365,6 +390,15 @@ def nested_json_roundtrip(spark, sf):
     return documents.flatten_results(documents.read_documents(spark, path, multi_line=False))
 
 
+@query("season_documents", _FLAT_SQL, "flat_results")
+def season_documents(spark, sf):
+    """One multi-line document for each season, written and read back."""
+    path = new_path(spark, "documents")
+    flat = views.flat_results(views.season_results(spark, sf))
+    documents.write_season_documents(documents.season_documents(flat, ["result_id"]), path)
+    return documents.flatten_results(documents.read_documents(spark, path, multi_line=True))
+
+
 @query("paged_results_merge", _FLAT_SQL, "flat_results")
 def paged_results_merge(spark, sf):
     path = new_path(spark, "pages")
@@ -442,7 +476,7 @@ LEFT JOIN driver_stats d ON q.code = d.code LEFT JOIN constructor_stats c ON q.c
     "constructor_stats",
 )
 def feature_lookup(spark, sf):
-    rows = views.season_results(spark, sf)
+    rows = stable(views.season_results(spark, sf))
     return results.look_up_features(_requests(rows), results.driver_stats(rows), results.constructor_stats(rows))
 
 
@@ -829,6 +863,19 @@ def confusion_of_labels(spark, sf):
     return confusion_matrix(_judged(spark, sf))
 
 
+@query(
+    "confusion_many_classes",
+    """
+SELECT CAST(k AS INT) AS label, count(*) FILTER (l_orderkey % 3 = 0) AS predicted_0,
+       count(*) FILTER (l_orderkey % 3 = 1) AS predicted_1, count(*) FILTER (l_orderkey % 3 = 2) AS predicted_2,
+       0::BIGINT AS predicted_3 FROM (SELECT *, l_linenumber % 4 AS k FROM lineitem) l GROUP BY k""",
+)
+def confusion_many_classes(spark, sf):
+    items = views.table(spark, sf, "lineitem")
+    label = (F.col("l_linenumber") % 4).cast("int").alias("label")
+    return confusion_matrix(items.select(label, (F.col("l_orderkey") % 3).cast("int").alias("prediction")))
+
+
 # The priorities and states of the orders table.
 _PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 _STATES = ["F", "O", "P"]

@@ -1,15 +1,16 @@
 """Operators on ordered groups: trailing values, row numbers, next known value.
 
-Each has two exact forms. When the heaviest group is small enough for one task, it is a plain window: one
-exchange on the group keys. Otherwise the rows are range-partitioned on (group keys, order), so that a group
-of any size is spread over many tasks, and the little that a block needs from its neighbours is carried over:
+Each has two exact forms, and the caller says which one to use; nothing is measured. By default it is a plain
+window: one exchange on the group keys, and a group is sorted in one task. With `split=True` the rows are
+range-partitioned on (group keys, order), so that a group of any size is spread over many tasks, and the little
+that a block needs from its neighbours is carried over:
 
 * trailing values need the last few rows before the block (`n` rows for each block),
 * row numbers need the count of the group's earlier rows (one number for each block),
 * the next known value needs one value for each block.
 
-What is carried grows with the number of blocks (`spark.sql.shuffle.partitions`), not with the data, so
-broadcasting it is bounded. Group keys may be null; null is a group like any other.
+What is carried grows with the number of blocks, not with the rows of a block, so broadcasting it is bounded. The
+number of blocks follows the stored size of the rows. Group keys may be null; null is a group like any other.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 
 from racelake.sources.scratch import stable
 
-# Rows of one group that a single task may sort and hold (it spills beyond memory).
-GROUP_ROWS = 1_000_000
+# Stored bytes that make one block.
+BLOCK_BYTES = 64 << 20
 
 BLOCK, POS, HALO = "__block", "__pos", "__halo"
 _POS_BITS = 33
@@ -49,24 +50,11 @@ class Past:
         return reduced.over(window.rowsBetween(-self.rows, -1)).alias(self.name)
 
 
-def heaviest_group(df: DataFrame, by: Sequence[str]) -> int:
-    """Rows of the largest group. Reads the key columns only and combines before the shuffle."""
-    return df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-
-
-def _fits(df: DataFrame, by: Sequence[str], group_rows: int | None) -> bool:
-    """Whether each group fits one task. Groups are not looked at where the whole table is small enough."""
-    return group_rows is None or df.count() <= group_rows or heaviest_group(df, by) <= group_rows
-
-
 def add_past(
-    df: DataFrame, by: Sequence[str], order: Sequence[str], past: Sequence[Past], group_rows: int | None = GROUP_ROWS
+    df: DataFrame, by: Sequence[str], order: Sequence[str], past: Sequence[Past], split: bool = False
 ) -> DataFrame:
-    """`df` with the trailing columns `past`, never looking at the current row.
-
-    `group_rows=None` states that the caller knows every group to be small, and skips the check.
-    """
-    if _fits(df, by, group_rows):
+    """`df` with the trailing columns `past`, never looking at the current row."""
+    if not split:
         window = Window.partitionBy(*by).orderBy(*order)
         return df.select("*", *[p.over(window) for p in past])
 
@@ -82,7 +70,7 @@ def add_past(
 
 
 def add_row_number(
-    df: DataFrame, by: Sequence[str], order: Sequence[str], name: str, group_rows: int | None = GROUP_ROWS
+    df: DataFrame, by: Sequence[str], order: Sequence[str], name: str, split: bool = False
 ) -> DataFrame:
     """`df` with the 1-based position of each row in its group, as a bigint.
 
@@ -91,7 +79,7 @@ def add_row_number(
     if not by:
         blocks = cut(df, by, order)
         return _with_table_position(blocks).select(*df.columns, (F.col("__at") + 1).alias(name))
-    if _fits(df, by, group_rows):
+    if not split:
         number = F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long")
         return df.select("*", number.alias(name))
 
@@ -109,7 +97,7 @@ def add_next_known(
     order: Sequence[str],
     source: str,
     name: str | None = None,
-    group_rows: int | None = GROUP_ROWS,
+    split: bool = False,
 ) -> DataFrame:
     """`df` with `source` replaced (or copied to `name`) by its first non-null value from this row on.
 
@@ -117,7 +105,7 @@ def add_next_known(
     anew for each row.
     """
     name = name or source
-    if _fits(df, by, group_rows):
+    if not split:
         backwards = Window.partitionBy(*by).orderBy(*[F.col(c).desc() for c in order])
         return df.withColumn(name, _latest(source, backwards))
 
@@ -139,10 +127,14 @@ def add_table_position(df: DataFrame, order: Sequence[str], name: str, total: st
 def cut(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Range-partitioned rows with their block number and position in it.
 
-    Range bounds come from a sample and would differ if the plan ran twice, so the result is made stable.
+    Range bounds come from a sample and would differ if the plan ran twice, so the result is made stable. The rows
+    are stored before that too: sampling reads them once more, and their size says how many blocks there are.
     """
     keys = [*by, *order]
-    ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    rows = stable(df)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    stored = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    ranged = rows.repartitionByRange(max(parts, -(-stored // BLOCK_BYTES)), *keys).sortWithinPartitions(*keys)
     place = F.monotonically_increasing_id()
     return stable(ranged.withColumn("__place", place)).select(
         *df.columns,

@@ -25,10 +25,11 @@ def left_enrich(
 
 
 def one_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """One row for each key: the first in `order`. The copies of a key are reduced before the shuffle."""
+    """One row for each key: the first in `order`, a null after every value. Copies are reduced before the shuffle."""
     rest = [c for c in df.columns if c not in keys]
     ranked = [*order, *[c for c in rest if c not in order]]
-    first = df.groupBy(*keys).agg(F.min(F.struct(*ranked)).alias("first"))
+    places = [part for i, c in enumerate(ranked) for part in (F.col(c).isNull().alias(f"__{i}"), F.col(c))]
+    first = df.groupBy(*keys).agg(F.min(F.struct(*places)).alias("first"))
     return first.select(*[F.col(c) if c in keys else F.col(f"first.`{c}`") for c in df.columns])
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from racelake.functions import null_when
 from racelake.operators.columns import fill, first_present, flags_to_int, prefix_only, presence_flags
-from racelake.operators.ordered import GROUP_ROWS, Past, add_next_known, add_past
+from racelake.operators.ordered import Past, add_next_known, add_past
 from racelake.operators.relations import left_enrich
 from racelake.plans.summaries import FORM_NAMES, TEAM_RACE
 
@@ -100,14 +100,14 @@ def race_dataset(summary: DataFrame, driver_form: DataFrame, team_form: DataFram
     )
 
 
-def lap_dataset(laps: DataFrame, group_rows: int | None = GROUP_ROWS) -> DataFrame:
+def lap_dataset(laps: DataFrame, split: bool = False) -> DataFrame:
     """Each timed lap with what was known from the laps before it; the target is its own time.
 
     Laps without a time are dropped last: they still count as the previous lap.
     """
     started = first_present(laps, "lapstartdate", "lap_start_time_ms").alias("lap_context_time")
     needed = laps.select(*CONTEXT, started, *CONDITIONS, "lap_time_ms")
-    known = add_past(needed, DRIVER_KEY, ["lap_number"], LAP_HISTORY, group_rows)
+    known = add_past(needed, DRIVER_KEY, ["lap_number"], LAP_HISTORY, split)
     return known.select(
         *CONTEXT,
         "lap_context_time",
@@ -118,11 +118,11 @@ def lap_dataset(laps: DataFrame, group_rows: int | None = GROUP_ROWS) -> DataFra
 
 
 def known_compound(
-    laps: DataFrame, sentinels: Sequence[str] = NO_COMPOUND, group_rows: int | None = GROUP_ROWS
+    laps: DataFrame, sentinels: Sequence[str] = NO_COMPOUND, split: bool = False
 ) -> DataFrame:
     """An unknown compound takes the next known one of the race; laps with none to come are dropped."""
     marked = laps.withColumn("compound", null_when(F.col("compound"), *sentinels))
-    filled = add_next_known(marked, DRIVER_KEY, ["lap_number"], "compound", group_rows=group_rows)
+    filled = add_next_known(marked, DRIVER_KEY, ["lap_number"], "compound", split=split)
     return filled.filter(F.col("compound").isNotNull())
 
 
@@ -136,7 +136,7 @@ def lap_ml_table(
     driver_form: DataFrame,
     team_form: DataFrame,
     sentinels: Sequence[str] = NO_COMPOUND,
-    group_rows: int | None = GROUP_ROWS,
+    split: bool = False,
     ordered: bool = True,
 ) -> DataFrame:
     """The lap dataset with both forms, without gaps, in time order.
@@ -145,7 +145,7 @@ def lap_ml_table(
     """
     drivers = prefix_only(driver_form.select(*DRIVER_KEY, *FORM_NAMES), "driver_", FORM_NAMES)
     teams = prefix_only(team_form.select(*TEAM_RACE, *FORM_NAMES), "constructor_", FORM_NAMES)
-    filled = fill(known_compound(laps, sentinels, group_rows), TYRE_DEFAULTS)
+    filled = fill(known_compound(laps, sentinels, split), TYRE_DEFAULTS)
     joined = left_enrich(left_enrich(filled, drivers, DRIVER_KEY), teams, TEAM_RACE)
     complete = history_filled(flags_to_int(joined, LAP_FLAGS))
     if ordered:

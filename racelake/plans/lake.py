@@ -1,7 +1,9 @@
 """All stages in order of dependency, each reading what earlier stages stored.
 
-Layout: `{lake}/{layer}/{table}`, partitioned by season and race where rows are per session. A rerun with
-`seasons` replaces only the partitions of those seasons.
+Layout: `{lake}/{layer}/{table}`, partitioned by season and race where rows are per session; raw tables by session
+type too. Silver and gold tables are replaced by whole seasons: those of the run, or all, so that a race that no
+longer has rows leaves none behind. Raw and bronze replace the sessions they get rows for; a race that is dropped from
+the calendar stays in bronze until its season's folder is removed.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from racelake import schemas
 from racelake.plans import datasets, laps, results, summaries
 from racelake.sources.calendar import in_calendar
 from racelake.sources.documents import flatten_results, read_documents
+from racelake.sources.scratch import stable
 from racelake.sources.tables import read_optional, read_required, write_table
 
 # Table names and their raw shapes.
@@ -41,9 +44,20 @@ class Lake:
     def read_optional(self, layer: str, table: str, schema: T.StructType) -> DataFrame:
         return self._wanted(read_optional(self.spark, self.path(layer, table), schema, self.fmt))
 
-    def write(self, df: DataFrame, layer: str, table: str, partition_by: Sequence[str] = ("season",)) -> None:
+    def write_sessions(self, df: DataFrame, layer: str, table: str, partition_by: Sequence[str]) -> None:
+        """Replaces the sessions that `df` has rows for."""
         write_table(df, self.path(layer, table), partition_by, self.fmt, touched_only=True)
 
+    def write(self, df: DataFrame, layer: str, table: str, partition_by: Sequence[str] = ("season",)) -> None:
+        """Replaces the seasons of the run as a whole, also where `df` has no rows for them."""
+        path = self.path(layer, table)
+        if self.seasons is None or "season" not in partition_by:
+            write_table(df, path, partition_by, self.fmt)
+            return
+        rows, rest = stable(df), [c for c in partition_by if c != "season"]
+        for season in self.seasons:
+            write_table(rows.filter(F.col("season") == season).drop("season"), f"{path}/season={season}", rest, self.fmt)
+
     def _wanted(self, df: DataFrame) -> DataFrame:
         return df if self.seasons is None else df.filter(F.col("season").isin(list(self.seasons)))
 
@@ -51,15 +65,16 @@ class Lake:
 def write_raw_session(lake: Lake, table: str, session: DataFrame) -> None:
     """A session's table (with metadata) beside the others; the session alone is replaced."""
     keyed = laps.storable(session).withColumn("race", laps.slug(F.col("grand_prix")))
-    lake.write(keyed, "raw", table, SESSION)
+    lake.write_sessions(keyed, "raw", table, [*SESSION, "session_type"])
 
 
 def to_bronze(lake: Lake, calendar: DataFrame | None = None, session_type: str = "R") -> None:
     """Every session of the wanted seasons, or those in `calendar`; a table that is absent is left out."""
     for table, schema in SESSION_TABLES.items():
-        raw = lake.read_optional("raw", table, schema)
+        raw = lake.read_optional("raw", table, schema).filter(F.col("session_type") == session_type)
         tidy = laps.bronze(raw, table, session_type)
-        lake.write(tidy if calendar is None else in_calendar(tidy, calendar), "bronze", table, SESSION)
+        kept = tidy if calendar is None else in_calendar(tidy, calendar)
+        lake.write_sessions(kept, "bronze", table, SESSION)
 
 
 def to_silver(lake: Lake, separator: str | None = ";") -> None:

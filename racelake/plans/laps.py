@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -10,10 +11,12 @@ from pyspark.sql import types as T
 
 from racelake.functions import duration_ms, has_token, is_known, slug, to_double
 from racelake.operators.columns import fill, normalize_names, rename_present, stamp
-from racelake.operators.ordered import GROUP_ROWS, add_row_number
+from racelake.operators.ordered import add_row_number
 from racelake.operators.relations import left_enrich
 from racelake.schemas import LAPS, TYPES, fitted
 
+log = logging.getLogger(__name__)
+
 # Column names, codes and defaults.
 SILVER_NAMES = {
     "lapnumber": "lap_number",
@@ -122,16 +125,16 @@ def align_rows(
     rows_order: Sequence[str],
     other_order: Sequence[str],
     columns: dict[str, str],
-    group_rows: int | None = GROUP_ROWS,
+    split: bool = False,
 ) -> DataFrame:
     """`other` with the columns of the row at the same place in `rows`, place being the order within `by`.
 
     `columns` maps names in `rows` to names in the result.
     """
     number = "__place"
-    given = add_row_number(rows, by, rows_order, number, group_rows)
+    given = add_row_number(rows, by, rows_order, number, split)
     named = given.select(*by, number, *[F.col(c).alias(new) for c, new in columns.items()])
-    return left_enrich(add_row_number(other, by, other_order, number, group_rows), named, [*by, number]).drop(number)
+    return left_enrich(add_row_number(other, by, other_order, number, split), named, [*by, number]).drop(number)
 
 
 # Bronze ------------------------------------------------------------------------------------------------------
@@ -163,7 +166,7 @@ def with_results(laps: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def prepare(laps: DataFrame, separator: str | None = ";") -> DataFrame:
-    """Typed, filled and flagged laps; laps without a time are dropped.
+    """Typed, filled and flagged laps; laps without a time are dropped, unless the table has no times at all.
 
     Columns of the silver table that the input lacks become typed nulls, other columns pass.
     """
@@ -179,7 +182,11 @@ def prepare(laps: DataFrame, separator: str | None = ";") -> DataFrame:
 
     wanted = {f.name: f.dataType for f in LAPS} | {c: TYPES[t] for c, t in EXTRA_TYPES.items()}
     columns = [*LAPS.names, *[c for c in named.columns if c not in LAPS.names]]
-    timed = named.select(*[typed(c).alias(c) for c in columns]).filter(F.col("lap_time_ms").isNotNull())
+    timed = named.select(*[typed(c).alias(c) for c in columns])
+    if "lap_time_ms" in types:
+        timed = timed.filter(F.col("lap_time_ms").isNotNull())
+    else:
+        log.warning("a lap table without lap times: all its laps are kept")
     return with_flags(fill(timed, DEFAULTS), separator)
 
 
@@ -216,13 +223,26 @@ def silver(
     separator: str | None = ";",
     unique_weather: bool = False,
 ) -> DataFrame:
-    """Bronze tables, any number of sessions, to clean laps. A missing table, or one without the needed
-    columns, leaves its columns null."""
+    """Bronze tables, any number of sessions, to clean laps. A missing table, or one without its key columns,
+    leaves its columns null; so does a single column that is missing."""
+
+    def usable(table: DataFrame | None, name: str, keys: Sequence[str]) -> bool:
+        missing = [] if table is None else [c for c in keys if c not in table.columns]
+        if missing:
+            log.warning("%s is left out, it lacks %s", name, ", ".join(missing))
+        return table is not None and not missing
+
+    def filled(table: DataFrame, columns: Sequence[str], name: str) -> DataFrame:
+        missing = [c for c in columns if c not in table.columns]
+        if missing:
+            log.warning("%s has no %s", name, ", ".join(missing))
+        return table.withColumns({c: F.lit(None).cast("string") for c in missing})
+
     keyed = rename_present(laps, {"lapnumber": "lap_number"})
     keyed = keyed.withColumn("lap_number", fitted(F.col("lap_number"), T.IntegerType()))
-    if weather is not None and {*LAP_KEY, *WEATHER} <= {*weather.columns}:
-        placed = weather.withColumn("lap_number", fitted(F.col("lap_number"), T.IntegerType()))
+    if usable(weather, "weather", LAP_KEY):
+        placed = filled(weather, WEATHER, "weather").withColumn("lap_number", fitted(F.col("lap_number"), T.IntegerType()))
         keyed = with_weather(keyed.drop(*WEATHER), placed, unique_weather)
-    if results is not None and {"season", "race", *RESULT_NAMES} <= {*results.columns}:
-        keyed = with_results(keyed, results)
+    if usable(results, "results", ["season", "race", "abbreviation"]):
+        keyed = with_results(keyed, filled(results, list(RESULT_NAMES), "results"))
     return prepare(keyed, separator)

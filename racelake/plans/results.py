@@ -102,7 +102,7 @@ def look_up_features(requests: DataFrame, drivers: DataFrame, constructors: Data
         drivers.select("code", *[f"driver_{c}" for c in CAREER_FEATURES]),
         constructors.select("constructor_id", *[f"constructor_{c}" for c in CAREER_FEATURES]),
     )
-    # num_races is a count, so it is null only where the join found nothing.
+    # The texts of both reasons. num_races is a count, so it is null only where the join found nothing.
     reason = F.when(F.col("driver_num_races").isNull(), "No driver data found").when(
         F.col("constructor_num_races").isNull(), "No constructor data found"
     )

@@ -95,20 +95,20 @@ FORM_NAMES = [p.name for p in DRIVER_FORM]
 
 
 def recent_form(
-    summary: DataFrame, entity: str, past: Sequence[Past], carry_over: bool = False, group_rows: int | None = None
+    summary: DataFrame, entity: str, past: Sequence[Past], carry_over: bool = False, split: bool = False
 ) -> DataFrame:
     """`summary` with form over the entity's earlier races, restarting each season unless `carry_over`.
 
-    A summary holds one row for each race of an entity, so a group is as long as a season and needs no
-    check. For other inputs pass `group_rows`, and groups above it are split.
+    A summary holds one row for each race of an entity, so a group is as long as a season. Where that is not
+    so (`carry_over`, rows without a driver or team), pass `split`.
     """
     by = [entity] if carry_over else [entity, "season"]
-    return add_past(summary, by, ["race_date", "race"], past, group_rows)
+    return add_past(summary, by, ["race_date", "race"], past, split)
 
 
-def driver_recent_form(summary: DataFrame, carry_over: bool = False, group_rows: int | None = None) -> DataFrame:
-    return recent_form(summary, "driver", DRIVER_FORM, carry_over, group_rows)
+def driver_recent_form(summary: DataFrame, carry_over: bool = False, split: bool = False) -> DataFrame:
+    return recent_form(summary, "driver", DRIVER_FORM, carry_over, split)
 
 
-def constructor_recent_form(summary: DataFrame, carry_over: bool = False, group_rows: int | None = None) -> DataFrame:
-    return recent_form(summary, "team_name", TEAM_FORM, carry_over, group_rows)
+def constructor_recent_form(summary: DataFrame, carry_over: bool = False, split: bool = False) -> DataFrame:
+    return recent_form(summary, "team_name", TEAM_FORM, carry_over, split)

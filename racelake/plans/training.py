@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 from racelake.functions import to_time
 from racelake.operators.columns import stamp
-from racelake.operators.encode import MAX_CATEGORIES, categories, one_hot_stages
+from racelake.operators.encode import one_hot_stages
 from racelake.operators.metrics import binary_metrics, class_report, confusion_matrix
 from racelake.operators.split import time_split
-from racelake.plans.results import FEATURES, accepted, look_up_features
+from racelake.plans.results import FEATURES, look_up_features
 
 # Target, text features, order of time, labels.
 TARGET = "finished_top_10"
@@ -67,15 +67,13 @@ def train(
     estimator: Estimator,
     order: Sequence[str] = TIME_ORDER,
     fraction: float = 0.8,
-    max_categories: int = MAX_CATEGORIES,
 ) -> Trained:
     """Fits on the first part of the time-ordered rows and evaluates on the rest."""
-    categories(dataset, CATEGORICAL, max_categories)
     rows = model_ready(time_split(prepare_training(dataset, order), order, fraction))
     model = build_model(estimator).fit(rows.filter("is_train"))
     predictions = model.transform(rows.filter("not is_train"))
     judged = predictions.select(F.col(TARGET).alias("label"), F.col("prediction").cast("int").alias("prediction"))
-    return Trained(model, predictions, binary_metrics(judged), class_report(judged), confusion_matrix(judged))
+    return Trained(model, predictions, binary_metrics(judged), class_report(judged), confusion_matrix(judged, (0, 1)))
 
 
 def save_model(model: PipelineModel, path: str) -> None:
@@ -87,13 +85,15 @@ def load_model(path: str) -> PipelineModel:
 
 
 def score(model: PipelineModel, requests: DataFrame, drivers: DataFrame, constructors: DataFrame) -> DataFrame:
-    """Prediction and label for each request whose driver and constructor are known."""
-    known = accepted(look_up_features(requests, drivers, constructors))
-    scored = model.transform(model_ready(known))
-    prediction = F.col("prediction").cast("int")
-    label = F.when(prediction == 1, LABELS[1]).otherwise(LABELS[0])
-    others = [c for c in known.columns if c not in FEATURES]
-    return scored.select(*others, *FEATURES[:6], prediction.alias("prediction"), label.alias("label"))
+    """Prediction and label for each request; where the driver or constructor is unknown, `reason` says so and both
+    are null."""
+    looked_up = look_up_features(requests, drivers, constructors)
+    scored = model.transform(model_ready(looked_up))
+    prediction = F.when(F.col("reason").isNull(), F.col("prediction").cast("int"))
+    label = F.when(prediction == 1, LABELS[1]).when(prediction.isNotNull(), LABELS[0])
+    others = [c for c in looked_up.columns if c not in (*FEATURES, "reason")]
+    named = [prediction.alias("prediction"), label.alias("label"), F.col("reason")]
+    return scored.select(*others, *FEATURES[:6], *named)
 
 
 def metric_rows(metrics: DataFrame, run: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from racelake.functions import slug
-from racelake.operators.ordered import GROUP_ROWS, add_row_number
+from racelake.operators.ordered import add_row_number
 
 # Fixed value: what the name of a race weekend contains.
 RACE_WEEKEND = "Grand Prix"
@@ -38,11 +38,11 @@ def build_calendar(
     event_name: str = "event_name",
     country: str = "country",
     order: Sequence[str] = ("event_order",),
-    group_rows: int | None = GROUP_ROWS,
+    split: bool = False,
 ) -> DataFrame:
     """Rows (season, race_order, race) of the race weekends among `events`; an event without a name is none."""
     weekends = events.filter(F.coalesce(F.col(event_name).contains(RACE_WEEKEND), F.lit(False)))
-    numbered = add_row_number(weekends, [season], list(order), "__n", group_rows)
+    numbered = add_row_number(weekends, [season], list(order), "__n", split)
     return numbered.select(
         F.col(season).alias("season"), (F.col("__n") - 1).cast("int").alias("race_order"), F.col(country).alias("race")
     )

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from racelake.operators.ordered import GROUP_ROWS, add_row_number
+from racelake.operators.ordered import add_row_number
 
 
 def _texts(*names: str) -> list[T.StructField]:
@@ -80,14 +80,15 @@ def flatten_results(documents: DataFrame) -> DataFrame:
 
 
 def nest_results(
-    flat: DataFrame, order: Sequence[str], page_rows: int = PAGE_ROWS, group_rows: int | None = GROUP_ROWS
+    flat: DataFrame, order: Sequence[str], page_rows: int = PAGE_ROWS, split: bool = False
 ) -> DataFrame:
-    """The reverse of `flatten_results`: documents of one race each, with at most `page_rows` results.
+    """The reverse of `flatten_results` in pages: documents of one race each, with at most `page_rows` results.
 
-    A race with more results takes several documents, so no task ever gathers more than one page.
+    A race with more results takes several documents, so no task ever gathers more than one page. For one document
+    for each season see `season_documents`.
     """
     race_keys = ["season", "round", "raceName", "date", *CIRCUIT.names]
-    numbered = add_row_number(flat, race_keys, order, "__n", group_rows)
+    numbered = add_row_number(flat, race_keys, order, "__n", split)
     result = F.struct(
         F.struct(*DRIVER.names).alias("Driver"),
         F.struct(*CONSTRUCTOR.names).alias("Constructor"),
@@ -105,6 +106,36 @@ def nest_results(
     return pages.select(F.array(race).alias("Races"))
 
 
+def season_documents(flat: DataFrame, order: Sequence[str]) -> DataFrame:
+    """The reverse of `flatten_results` by season: one document for each, races by round and name, results in `order`.
+
+    A document is a whole season by definition, so one task gathers a season's results.
+    """
+    race_keys = ["season", "round", "raceName", "date", *CIRCUIT.names]
+    result = F.struct(
+        F.struct(*DRIVER.names).alias("Driver"),
+        F.struct(*CONSTRUCTOR.names).alias("Constructor"),
+        *["grid", "position", "points", "laps", "status"],
+    )
+    place = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order)])
+    races = flat.groupBy(*race_keys).agg(
+        F.array_sort(F.collect_list(F.struct(place.alias("place"), result.alias("result")))).alias("numbered")
+    )
+    race = F.struct(
+        *["season", "round", "raceName", "date"],
+        F.struct(*CIRCUIT.names).alias("Circuit"),
+        F.col("numbered.result").alias("Results"),
+    )
+    keyed = F.struct(F.col("round").try_cast("int").alias("n"), F.col("raceName").alias("name"), race.alias("race"))
+    seasons = races.groupBy("season").agg(F.array_sort(F.collect_list(keyed)).alias("races"))
+    return seasons.select("season", F.col("races.race").alias("Races"))
+
+
+def write_season_documents(documents: DataFrame, path: str) -> None:
+    """One file for each season, `season=…` in its folder's name."""
+    documents.repartition("season").write.mode("overwrite").partitionBy("season").json(path)
+
+
 def as_pages(documents: DataFrame) -> DataFrame:
     """Season documents in the shape of the results service's pages."""
     table = F.struct("Races").alias("RaceTable")

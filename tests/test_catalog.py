@@ -31,7 +31,7 @@ def test_same_as_sql(spark, con, name):
     assert rows(got) == rows(expected)
 
 
-def test_entry_is_lazy_and_runs(spark):
+def test_entry_runs(spark):
     assert entry(spark).count() > 0
 
 

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from racelake.operators.ordered import Past, add_next_known, add_past, add_row_number, add_table_position, heaviest_group
+from racelake.operators.ordered import Past, add_next_known, add_past, add_row_number, add_table_position
 
 PAST = [
     Past("mean3", "v", 3),
@@ -56,42 +56,42 @@ def expect_next(data):
     return out
 
 
-@pytest.mark.parametrize("limit", [None, 10_000, 3])
+@pytest.mark.parametrize("split", [False, True])
 @pytest.mark.parametrize("seed", [1, 2])
-def test_past(spark, limit, seed):
+def test_past(spark, split, seed):
     data = rows(seed)
     df = spark.createDataFrame(data, "g string, t int, v double")
-    got = add_past(df, ["g"], ["t"], PAST, group_rows=limit)
+    got = add_past(df, ["g"], ["t"], PAST, split=split)
     assert got.columns == ["g", "t", "v", "mean3", "sum5", "prev", "prev2"]
     assert {(r.g, r.t): (r.mean3, r.sum5, r.prev, r.prev2) for r in got.collect()} == expect_past(data)
     assert got.count() == len(data)
 
 
-@pytest.mark.parametrize("limit", [10_000, 3])
+@pytest.mark.parametrize("split", [False, True])
 @pytest.mark.parametrize("seed", [3, 4])
-def test_next_known(spark, limit, seed):
+def test_next_known(spark, split, seed):
     data = rows(seed)
     df = spark.createDataFrame(data, "g string, t int, v double")
-    got = add_next_known(df, ["g"], ["t"], "v", "next", group_rows=limit).collect()
+    got = add_next_known(df, ["g"], ["t"], "v", "next", split=split).collect()
     assert {(r.g, r.t): r.next for r in got} == expect_next(data)
     assert len(got) == len(data)
-    again = add_next_known(df, ["g"], ["t"], "v", group_rows=limit)
-    twice = add_next_known(again, ["g"], ["t"], "v", group_rows=limit)
+    again = add_next_known(df, ["g"], ["t"], "v", split=split)
+    twice = add_next_known(again, ["g"], ["t"], "v", split=split)
     assert sorted(map(str, again.collect())) == sorted(map(str, twice.collect()))
 
 
 def test_next_known_across_many_empty_blocks(spark):
     data = [("a", t, 7.0 if t == 399 else None) for t in range(400)] + [("b", t, None) for t in range(50)]
     df = spark.createDataFrame(data, "g string, t int, v double")
-    got = add_next_known(df, ["g"], ["t"], "v", group_rows=1).collect()
+    got = add_next_known(df, ["g"], ["t"], "v", split=True).collect()
     assert all(r.v == (7.0 if r.g == "a" else None) for r in got) and len(got) == 450
 
 
-@pytest.mark.parametrize("limit", [10_000, 3])
-def test_row_number(spark, limit):
+@pytest.mark.parametrize("split", [False, True])
+def test_row_number(spark, split):
     data = rows(5)
     df = spark.createDataFrame(data, "g string, t int, v double")
-    got = add_row_number(df, ["g"], ["t"], "n", group_rows=limit)
+    got = add_row_number(df, ["g"], ["t"], "n", split=split)
     expected = {(g, t): i + 1 for g, seq in grouped(data).items() for i, (t, _) in enumerate(seq)}
     assert {(r.g, r.t): r.n for r in got.collect()} == expected
     assert dict(got.dtypes)["n"] == "bigint"
@@ -109,7 +109,7 @@ def test_whole_row_copies_keep_their_number(spark):
     df = spark.createDataFrame([(1,)] * 300 + [(2,)] * 5, "k int")
     got = sorted(r.at for r in add_table_position(df, ["k"], "at", "total").collect())
     assert got == list(range(305))
-    numbers = sorted(r.n for r in add_row_number(df, ["k"], ["k"], "n", group_rows=1).filter("k = 1").collect())
+    numbers = sorted(r.n for r in add_row_number(df, ["k"], ["k"], "n", split=True).filter("k = 1").collect())
     assert numbers == list(range(1, 301))
 
 
@@ -123,9 +123,13 @@ def test_change_of_a_row_never_reaches_earlier_rows(spark):
     assert all(one[t] == two[t] for t in range(11)) and one[11] != two[11]
 
 
-def test_heaviest_group(spark):
-    assert heaviest_group(spark.createDataFrame([], "g int"), ["g"]) == 0
-    assert heaviest_group(spark.createDataFrame([(1,), (1,), (None,)], "g int"), ["g"]) == 2
+def test_nothing_is_measured_before_the_action(spark):
+    df = spark.range(100).select((F.col("id") % 5).alias("g"), F.col("id").alias("t"), F.rand(1).alias("v"))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("lazy", "building a plain window")
+    add_past(df, ["g"], ["t"], PAST)
+    assert not tracker.getJobIdsForGroup("lazy")
+    spark.sparkContext.setJobGroup("", "")
 
 
 def test_small_groups_cost_one_exchange(spark):

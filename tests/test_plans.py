@@ -123,7 +123,12 @@ def test_silver_with_weather_and_results(spark):
         (2, None, False, 4, 2, "Finished", "RB"),
     ]
     assert laps.silver(bronze, weather, entries, unique_weather=True).count() == 2
-    assert laps.silver(bronze, weather.drop("humidity"), entries).select("air_temp").distinct().collect()[0][0] is None
+    partial = laps.silver(bronze, weather.drop("humidity"), entries).select("lap_number", "air_temp", "humidity")
+    assert rows(partial) == [(1, 20.0, None), (1, 20.0, None), (2, None, None)]
+    without = laps.silver(bronze, weather.drop("lap_number"), entries)
+    assert without.select("air_temp").distinct().collect()[0][0] is None
+    untimed = laps.silver(bronze.drop("laptime"), weather, entries)
+    assert untimed.count() == 3 and untimed.filter("lap_time_ms is not null").count() == 0
 
 
 def test_prepare_twice_is_the_same(spark):
@@ -148,11 +153,11 @@ def test_intervals_are_stored_as_text(spark):
     assert [r[0] for r in text.select(laps.duration_ms(F.col("t"))).collect()] == [87512.0, 86401000.0, None, None]
 
 
-@pytest.mark.parametrize("group_rows", [1000, 2])
-def test_row_alignment(spark, group_rows):
+@pytest.mark.parametrize("split", [False, True])
+def test_row_alignment(spark, split):
     a = spark.createDataFrame([("r", t, f"d{t}") for t in range(9)] + [("s", 0, "x")], "race string, t int, driver string")
     b = spark.createDataFrame([("r", 10 * t) for t in range(10)] + [("s", 5)], "race string, at int")
-    got = laps.align_rows(a, b, ["race"], ["t"], ["at"], {"driver": "driver"}, group_rows)
+    got = laps.align_rows(a, b, ["race"], ["t"], ["at"], {"driver": "driver"}, split)
     assert rows(got) == sorted([("r", 10 * t, f"d{t}" if t < 9 else None) for t in range(10)] + [("s", 5, "x")], key=repr)
 
 
@@ -221,7 +226,7 @@ def test_form_restarts_each_season_unless_carried_over(spark):
     both = season(spark, [1, 2]).union(season(spark, [3, 4], year=2024)).withColumn("race_date", F.make_date("season", F.lit(1), F.lit(1)))
     fresh = summaries.driver_recent_form(both).orderBy("season", "race").collect()
     assert [r.avg_finish_last_3 for r in fresh] == [None, 1.0, None, 3.0]
-    carried = summaries.driver_recent_form(both, carry_over=True, group_rows=2).orderBy("season", "race").collect()
+    carried = summaries.driver_recent_form(both, carry_over=True, split=True).orderBy("season", "race").collect()
     assert [r.avg_finish_last_3 for r in carried] == [None, 1.0, 1.5, 2.0]
 
 
@@ -248,17 +253,17 @@ def full_laps(spark, *data):
     return laps.with_flags(typed.withColumns({"fresh_tyre": F.lit(True), "track_status": F.lit("1")}))
 
 
-@pytest.mark.parametrize("group_rows", [1000, 2])
-def test_lap_dataset(spark, group_rows):
+@pytest.mark.parametrize("split", [False, True])
+def test_lap_dataset(spark, split):
     data = [("VER", 1, 10.0, "nan"), ("VER", 2, None, "nan"), ("VER", 5, 30.0, "SOFT"), ("VER", 6, 40.0, "nan"), ("HAM", 1, 5.0, "nan")]
-    rows_ = datasets.lap_dataset(full_laps(spark, *data), group_rows)
+    rows_ = datasets.lap_dataset(full_laps(spark, *data), split)
     assert len(rows_.columns) == 34 and rows_.count() == 4
     got = [
         (r.lap_number, r.last_lap_time_ms, r.avg_lap_time_last_2, r.avg_lap_time_last_3, r.last_lap_is_green, r.target_lap_time_ms)
         for r in rows_.filter("driver = 'VER'").orderBy("lap_number").collect()
     ]
     assert got == [(1, None, None, None, None, 10.0), (5, None, 10.0, 10.0, True, 30.0), (6, 30.0, 30.0, 20.0, True, 40.0)]
-    known = datasets.known_compound(rows_, group_rows=group_rows)
+    known = datasets.known_compound(rows_, split=split)
     assert rows(known.select("driver", "lap_number", "compound")) == [("VER", 1, "SOFT"), ("VER", 5, "SOFT")]
 
 

@@ -45,12 +45,12 @@ def test_pages_keep_split_races(spark, tmp_path):
     assert sorted(r["round"] for r in documents.flatten_results(pages).collect()) == ["1", "1", "2", "2", "2", "2"]
 
 
-@pytest.mark.parametrize("group_rows", [1_000, 4])
-def test_nesting_bounds_each_document(spark, tmp_path, group_rows):
+@pytest.mark.parametrize("split", [False, True])
+def test_nesting_bounds_each_document(spark, tmp_path, split):
     one = documents.flatten_results(spark.createDataFrame([([race(1, [RESULT])],)], documents.SEASON_DOCUMENT))
     many = one.withColumn("laps", F.explode(F.sequence(F.lit(1), F.lit(25)))).withColumn("n", F.col("laps"))
     many = many.withColumn("laps", F.col("laps").cast("string"))
-    nested = documents.nest_results(many, ["n"], page_rows=10, group_rows=group_rows)
+    nested = documents.nest_results(many, ["n"], page_rows=10, split=split)
     assert sorted(r[0] for r in nested.select(F.size(F.col("Races")[0]["Results"])).collect()) == [5, 10, 10]
     documents.write_documents(nested, str(tmp_path / "d"))
     back = documents.flatten_results(documents.read_documents(spark, str(tmp_path / "d"), multi_line=False))
@@ -70,12 +70,12 @@ def test_calendar(spark, tmp_path):
     assert rows(calendar.in_calendar(laps, races)) == [(2019, "great_britain")]
 
 
-@pytest.mark.parametrize("group_rows", [1_000, 1])
-def test_calendar_is_built_in_event_order(spark, group_rows):
+@pytest.mark.parametrize("split", [False, True])
+def test_calendar_is_built_in_event_order(spark, split):
     events = [(2019, 2, "Spanish Grand Prix", "Spain"), (2019, 1, "Pre-Season Test", "Spain"), (2019, 3, None, "Italy"),
               (2019, 4, "British Grand Prix", "Great Britain"), (2020, 1, "Austrian Grand Prix", "Austria")]
     df = spark.createDataFrame(events, "season int, event_order int, event_name string, country string")
-    built = calendar.build_calendar(df, group_rows=group_rows)
+    built = calendar.build_calendar(df, split=split)
     assert rows(built) == [(2019, 0, "Spain"), (2019, 1, "Great Britain"), (2020, 0, "Austria")]
 
 

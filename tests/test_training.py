@@ -45,9 +45,13 @@ def test_train_save_score(spark, tmp_path, history, stats, dataset, estimator):
         history.limit(1).selectExpr("season", "round", "grid", "circuit_id", "driver_id", "constructor_id", "'none'")
     )
     scored = training.score(training.load_model(path), requests, *stats)
-    assert scored.count() == 10
-    assert {(r.prediction, r.label) for r in scored.collect()} <= {(1, "Top 10"), (0, "Not Top 10")}
-    assert scored.filter("driver_id = 'd0'").first().label == "Top 10"
+    assert scored.count() == 11
+    known = scored.filter("reason is null")
+    assert known.count() == 10
+    assert {(r.prediction, r.label) for r in known.collect()} <= {(1, "Top 10"), (0, "Not Top 10")}
+    rejected = scored.filter("reason is not null").first()
+    assert (rejected.prediction, rejected.label, rejected.reason) == (None, None, "No driver data found")
+    assert known.filter("driver_id = 'd0'").first().label == "Top 10"
 
     log = str(tmp_path / "log")
     for run in ("one", "two"):
@@ -56,9 +60,6 @@ def test_train_save_score(spark, tmp_path, history, stats, dataset, estimator):
     assert logged.count() == 8 and logged.columns == ["run", "metric", "value"]
 
 
-def test_categories_are_bounded(dataset):
-    with pytest.raises(ValueError, match="driver_id"):
-        training.train(dataset, training.random_forest(), max_categories=5)
 
 
 def test_prepare(dataset):
