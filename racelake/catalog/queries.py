@@ -31,7 +31,7 @@ from racelake.operators.relations import (
 )
 from racelake.operators.split import time_split
 from racelake.plans import datasets, laps, results, summaries, training
-from racelake.plans.lake import Lake, run_laps, run_season_results, write_raw_session
+from racelake.plans.lake import Lake, run_laps, run_season_results, to_bronze, to_silver, write_raw_session
 from racelake.schemas import schema
 from racelake.sources import calendar, documents
 from racelake.sources.scratch import new_path, stable
@@ -991,15 +991,15 @@ ORACLES["lake_laps"] = with_views(
 )
 
 
-@query("lake_laps")
-def lake_laps(spark, sf):
-    """Raw session tables of every season and race through all layers to the lap table for models."""
+def _raw_table(df: DataFrame, session_type: str = "R") -> DataFrame:
+    metadata = {"source": "provider", "ingestion_timestamp": "2024-01-01T00:00:00+00:00", "session_type": session_type}
+    return stamp(df.withColumn("grand_prix", F.col("race")).drop("race"), **metadata)
+
+
+def _raw_lake(spark: SparkSession, sf: str) -> Lake:
+    """A lake with the raw session tables of every season and race."""
     rows = stored_laps(spark, sf)
     lake = Lake(spark, new_path(spark, "lake"))
-    metadata = {"source": "provider", "ingestion_timestamp": "2024-01-01T00:00:00+00:00", "session_type": "R"}
-
-    def raw(df):
-        return stamp(df.withColumn("grand_prix", F.col("race")).drop("race"), **metadata)
 
     texts = views.raw_laps(rows).withColumnsRenamed(
         {"laptime": "LapTime", "pitintime": "PitInTime", "pitouttime": "PitOutTime", "trackstatus": "TrackStatus",
@@ -1008,8 +1008,37 @@ def lake_laps(spark, sf):
     dates = rows.select(*laps.LAP_KEY, "lapstartdate", "driver_number").withColumnsRenamed(
         {"lapstartdate": "LapStartDate", "driver_number": "DriverNumber", "lap_number": "LapNumber"}
     )
-    write_raw_session(lake, "laps", raw(texts.join(dates, ["season", "race", "driver", "LapNumber"])))
-    write_raw_session(lake, "lap_weather", raw(views.race_weather(rows)))
-    write_raw_session(lake, "results", raw(views.race_results(rows)))
+    write_raw_session(lake, "laps", _raw_table(texts.join(dates, ["season", "race", "driver", "LapNumber"])))
+    write_raw_session(lake, "lap_weather", _raw_table(views.race_weather(rows)))
+    write_raw_session(lake, "results", _raw_table(views.race_results(rows)))
+    return lake
+
+
+@query("lake_laps")
+def lake_laps(spark, sf):
+    """Raw session tables of every season and race through all layers to the lap table for models."""
+    lake = _raw_lake(spark, sf)
     run_laps(lake)
     return rounded(lake.read("gold", "lap_ml_table"), *JOINED_MEANS)
+
+
+@query(
+    "lake_rerun",
+    """
+SELECT season, race, driver, lap_number, lap_time_ms FROM lake_silver WHERE NOT (season = 1995 AND race = 'race_3')""",
+    "lake_silver",
+)
+def lake_rerun(spark, sf):
+    """A race that comes again without times loses its rows, and another session type changes nothing."""
+    lake = _raw_lake(spark, sf)
+    to_bronze(lake)
+    to_silver(lake)
+    race = lake.read("raw", "laps").filter("season = 1995 and race = 'race_3'").drop("session_type")
+    untimed = stable(race.withColumn("LapTime", F.lit("NaT")))
+    write_raw_session(lake, "laps", stamp(untimed, session_type="R"))
+    other = stable(lake.read("raw", "laps").filter("season = 1995 and race = 'race_4'").drop("session_type"))
+    write_raw_session(lake, "laps", stamp(other, session_type="Q"))
+    again = Lake(spark, lake.root, seasons=[1995])
+    to_bronze(again)
+    to_silver(again)
+    return lake.read("silver", "laps").select("season", "race", "driver", "lap_number", "lap_time_ms")

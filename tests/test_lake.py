@@ -70,6 +70,33 @@ def test_rerun_of_one_season_leaves_the_others(spark, lake):
     assert after.filter("season = 2023").count() == 10 and rows(after.filter("season = 2022")) == before
 
 
+def test_a_race_that_loses_its_times_leaves_silver_and_gold(spark, tmp_path):
+    built = Lake(spark, str(tmp_path))
+    for race in ("Spain", "Great Britain"):
+        for name, df in session(spark, 2022, race).items():
+            write_raw_session(built, name, df)
+    for name, df in session(spark, 2021, "Spain").items():
+        write_raw_session(built, name, df)
+    run_laps(built)
+    again = session(spark, 2022, "Spain")["laps"].withColumn("LapTime", F.lit("NaT"))
+    write_raw_session(built, "laps", again)
+    one = Lake(spark, built.root, seasons=[2022])
+    run_laps(one)
+    for layer, table in (("silver", "laps"), ("gold", "driver_race_summary"), ("gold", "lap_prediction_dataset")):
+        left = rows(built.read(layer, table).select("season", "race").distinct())
+        assert left == [("great_britain", 2022), ("spain", 2021)], table
+
+
+def test_session_types_stay_apart(spark, tmp_path):
+    built = Lake(spark, str(tmp_path))
+    for kind, n in (("R", 4), ("Q", 3)):
+        frame = session(spark, 2022, "Spain", n=n)["laps"].withColumn("session_type", F.lit(kind))
+        write_raw_session(built, "laps", frame)
+    assert built.read("raw", "laps").count() == 10
+    run_laps(built)
+    assert rows(built.read("bronze", "laps").groupBy("session_type").count()) == [(6, "R")]
+
+
 def test_calendar_limits_sessions(spark, tmp_path):
     small = Lake(spark, str(tmp_path))
     for race in ("Spain", "Great Britain"):
