@@ -124,7 +124,7 @@ def key_sums(
     `keys_of` gives a chunk's keys and `width` counts for each. `facts` sees each bucket's distinct keys and sums
     and adds a reply to chunk -1.
     """
-    buckets = 2 * int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 4 * int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,6 +148,7 @@ def key_sums(
         counts = [_from_planes(c, "<u4").reshape(-1, width) for c in table.column("counts").to_pylist()]
         keys = np.concatenate(asked)
         distinct, sums = combine(keys, np.concatenate(counts).astype(np.int64))
+        del counts
         where, answers, at = np.searchsorted(distinct, keys), [], 0
         for part in asked:
             answers.append(_planes(shown(sums[where[at : at + len(part)]])))

@@ -91,7 +91,7 @@ def score_texts(
 
     def flags(table: pa.Table, first: np.ndarray) -> np.ndarray:
         """Counts of each token: in training, and in the deleted part."""
-        rows = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("train", "tune")], axis=1)
+        rows = np.stack([table.column(c).to_numpy().astype(np.int32) for c in ("train", "tune")], axis=1)
         return np.repeat(rows, np.diff(first), axis=0)
 
     def keys_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
