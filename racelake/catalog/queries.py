@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml import Pipeline
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from racelake.catalog import views
 from racelake.catalog.oracle import view, with_views
 from racelake.functions import duration_ms, has_token, slug
 from racelake.operators.columns import normalize_names, prefix_only, stamp
-from racelake.operators.encode import dummies
+from racelake.operators.encode import dummies, one_hot_stages
 from racelake.operators.metrics import binary_metrics, class_report, confusion_matrix
 from racelake.operators.ordered import Past, add_past, add_row_number
 from racelake.operators.relations import (
@@ -903,9 +905,8 @@ def dummies_drop_first(spark, sf):
 
 
 def training_set(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Results with customers pooled into 200 drivers, and the statistics of drivers and constructors."""
-    pool = F.concat(F.lit("D"), F.substring("code", 2, 20).cast("long") % 200)
-    rows = stable(views.season_results(spark, sf).withColumns({"code": pool, "driver_id": pool}))
+    """Results, and the statistics of drivers and constructors."""
+    rows = stable(views.season_results(spark, sf))
     drivers, constructors = stable(results.driver_stats(rows)), stable(results.constructor_stats(rows))
     return rows, drivers, constructors
 
@@ -919,9 +920,108 @@ def _trained(spark, sf, estimator) -> tuple[training.Trained, DataFrame, DataFra
     return training.train(dataset, estimator, TRAIN_ORDER), rows, drivers, constructors
 
 
+def _dataset(spark: SparkSession, sf: str) -> DataFrame:
+    rows, drivers, constructors = training_set(spark, sf)
+    features = results.race_features(rows)
+    known = F.when(F.col("result_id") % 23 != 0, F.col(training.TARGET))
+    return results.season_dataset(features.withColumn(training.TARGET, known), drivers, constructors)
+
+
+_DATASET_SQL = """(SELECT r.* REPLACE (CASE WHEN result_id % 23 <> 0 THEN finished_top_10 END AS finished_top_10),
+       d.* EXCLUDE (code), c.* EXCLUDE (constructor_id)
+FROM race_features r LEFT JOIN driver_stats d ON r.code = d.code
+LEFT JOIN constructor_stats c ON r.constructor_id = c.constructor_id)"""
+_DATASET_NEEDS = ("race_features", "driver_stats", "constructor_stats")
+
+
+@query(
+    "training_rows",
+    f"""
+SELECT result_id, driver_id, grid, driver_num_races, constructor_num_races, finished_top_10,
+       row_number() OVER (ORDER BY date NULLS FIRST, round, driver_id, result_id) <= floor(count(*) OVER () * 0.8::DOUBLE)
+           AS is_train
+FROM {_DATASET_SQL} t WHERE finished_top_10 IS NOT NULL""",
+    *_DATASET_NEEDS,
+)
+def training_rows(spark, sf):
+    """Preparation and split: rows without a target go, the first four fifths in time are for training."""
+    split = time_split(training.prepare_training(_dataset(spark, sf), TRAIN_ORDER), TRAIN_ORDER)
+    return split.select(
+        "result_id", "driver_id", "grid", "driver_num_races", "constructor_num_races", training.TARGET, "is_train"
+    )
+
+
+@query(
+    "one_hot_decoded",
+    """
+SELECT o_orderkey, CASE WHEN o_orderkey % 11 <> 0 AND o_orderpriority <> '5-LOW' THEN o_orderpriority END AS decoded
+FROM orders""",
+)
+def one_hot_decoded(spark, sf):
+    """Vectors back to categories: unknown ones and nulls have no slot."""
+    value = F.when(F.col("o_orderkey") % 11 != 0, F.col("o_orderpriority"))
+    orders = views.table(spark, sf, "orders").select("o_orderkey", value.alias("value"))
+    model = Pipeline(stages=one_hot_stages(["value"])).fit(orders.filter("value <> '5-LOW'"))
+    labels = F.array(*[F.lit(x) for x in model.stages[0].labelsArray[0]])
+    slot = F.array_position(vector_to_array("value_vector"), 1.0)
+    decoded = F.when(slot > 0, F.get(labels, slot.cast("int") - 1)).alias("decoded")
+    return model.transform(orders).select("o_orderkey", decoded)
+
+
+@query(
+    "assembled_features",
+    f"""
+SELECT result_id, {", ".join(f"round(coalesce(CAST({c} AS DOUBLE), 0), 6) AS {c}" for c in training.NUMERIC)}
+FROM {_DATASET_SQL} t WHERE finished_top_10 IS NOT NULL""",
+    *_DATASET_NEEDS,
+)
+def assembled_features(spark, sf):
+    """The numbers of each row as the estimators get them, behind the one-hot slots."""
+    rows = training.model_ready(training.prepare_training(_dataset(spark, sf), TRAIN_ORDER))
+    stages = training.build_model(training.logistic_regression()).getStages()[:-1]
+    vectors = Pipeline(stages=stages).fit(rows).transform(rows).withColumn("__all", vector_to_array("features"))
+    tail = {c: F.element_at("__all", i - len(training.NUMERIC)) for i, c in enumerate(training.NUMERIC)}
+    return vectors.select("result_id", *[F.round(v, 6).alias(c) for c, v in tail.items()])
+
+
+@query(
+    "model_reload",
+    f"""
+SELECT (count(*) - CAST(floor(count(*) * 0.8::DOUBLE) AS BIGINT))::BIGINT AS rows_scored, 0::BIGINT AS disagreements
+FROM {_DATASET_SQL} t WHERE finished_top_10 IS NOT NULL""",
+    *_DATASET_NEEDS,
+)
+def model_reload(spark, sf):
+    """A model that was saved and loaded predicts as the fitted one does."""
+    trained = training.train(_dataset(spark, sf), training.logistic_regression(iterations=20), TRAIN_ORDER)
+    path = new_path(spark, "model")
+    training.save_model(trained.model, path)
+    plain = trained.predictions.drop(*[c for c in trained.predictions.columns if c.endswith(("_index", "_vector"))])
+    again = training.load_model(path).transform(
+        plain.withColumnRenamed("prediction", "before").drop("features", "rawPrediction", "probability")
+    )
+    return again.agg(
+        F.count(F.lit(1)).alias("rows_scored"), F.count_if(F.col("prediction") != F.col("before")).alias("disagreements")
+    )
+
+
+@query(
+    "score_reasons",
+    """
+SELECT result_id, CASE WHEN result_id % 13 = 0 THEN 'No driver data found'
+                       WHEN result_id % 19 = 0 THEN 'No constructor data found' END AS reason,
+       (result_id % 13 = 0 OR result_id % 19 = 0) AS unscored FROM season_results""",
+    "season_results",
+)
+def score_reasons(spark, sf):
+    """Every request comes back: with a prediction, or with the reason why there is none."""
+    scored = score_batch(spark, sf)
+    return scored.select("result_id", "reason", F.col("prediction").isNull().alias("unscored"))
+
+
 @query("train_top10")
 def train_top10(spark, sf):
-    return _trained(spark, sf, training.random_forest(depth=5))[0].metrics
+    return _trained(spark, sf, training.random_forest())[0].metrics
 
 
 @query("train_logistic")
@@ -931,7 +1031,7 @@ def train_logistic(spark, sf):
 
 @query("score_batch")
 def score_batch(spark, sf):
-    trained, rows, drivers, constructors = _trained(spark, sf, training.random_forest(trees=20, depth=5))
+    trained, rows, drivers, constructors = _trained(spark, sf, training.logistic_regression(iterations=100))
     path = new_path(spark, "model")
     training.save_model(trained.model, path)
     return training.score(training.load_model(path), _requests(rows), drivers, constructors)
