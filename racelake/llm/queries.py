@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from racelake.llm import interpolation, jaccard, language, lines, mixing, neighbours, pieces, quality, repeats, toxicity
+from racelake.llm.workers import library_on_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -15,7 +17,12 @@ ORACLES: dict[str, str] = {}
 
 def query(sql: str | None = None):
     def register(function):
-        QUERIES[function.__name__] = function
+        @wraps(function)
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            library_on_path(spark)
+            return function(spark, folder)
+
+        QUERIES[function.__name__] = run
         if sql:
             ORACLES[function.__name__] = sql
         return function
