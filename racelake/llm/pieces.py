@@ -27,8 +27,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 _NORMAL, _UNKNOWN, _BYTE, _USER = 1, 2, 6, 4
 _BPE, _UNIGRAM = 2, 1
-#: Words whose pieces a task remembers; beyond, it starts anew.
-REMEMBERED = 400_000
+#: Words whose pieces a task remembers, and pairs of pieces that a worker does; beyond, it starts anew.
+REMEMBERED, REMEMBERED_PAIRS = 300_000, 250_000
 
 
 class Pieces:
@@ -85,6 +85,8 @@ class Pieces:
         key = (left, right)
         found = self._apart.get(key)
         if found is None:
+            if len(self._apart) >= REMEMBERED_PAIRS:
+                self._apart.clear()
             found = self._apart[key] = self.merged(left + right) == [left, right]
         return found
 
@@ -168,11 +170,13 @@ def encode_texts(docs: DataFrame, text: str = "text", ids: str = "ids", model: s
                 part = batch.slice(start, end - start)
                 found = codec.encode(part.column(at).to_pylist())
                 sizes = np.array([0 if f is None else len(f) // 4 for f in found])
-                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32(), mask=None)
+                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
                 values = pa.array(np.frombuffer(b"".join(f or b"" for f in found), "<i4"))
                 missing = pa.array([f is None for f in found])
                 lists = pa.ListArray.from_arrays(offsets, values, mask=missing)
                 yield pa.record_batch([*part.columns, lists], names=shape.names)
+        # Workers outlive their tasks; what they keep would count against the next stage's memory.
+        codec.memory.clear()
 
     return docs.mapInArrow(run, shape)
 
