@@ -27,8 +27,10 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 _NORMAL, _UNKNOWN, _BYTE, _USER = 1, 2, 6, 4
 _BPE, _UNIGRAM = 2, 1
+#: Text encoded at a time.
+SLICE_BYTES = 4 << 20
 #: Words whose pieces a task remembers, and pairs of pieces that a worker does; beyond, it starts anew.
-REMEMBERED, REMEMBERED_PAIRS = 300_000, 250_000
+REMEMBERED, REMEMBERED_PAIRS = 400_000, 250_000
 
 
 class Pieces:
@@ -166,7 +168,8 @@ def encode_texts(docs: DataFrame, text: str = "text", ids: str = "ids", model: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = pieces_of(shared.value)
         for batch in batches:
-            for start, end in row_slices(batch.column(at)):
+            # More words at a time share more prefixes.
+            for start, end in row_slices(batch.column(at), SLICE_BYTES):
                 part = batch.slice(start, end - start)
                 found = codec.encode(part.column(at).to_pylist())
                 sizes = np.array([0 if f is None else len(f) // 4 for f in found])
