@@ -107,6 +107,35 @@ def test_near_duplicate_vectors(spark):
     assert [g for g in got if g[0] is None] == [(None, 0, None, True)]
 
 
+def test_links_of_small_groups_are_audited_beside_a_large_one(spark):
+    rng = np.random.default_rng(3)
+    rows = [*rng.normal(size=(1500, 48))]
+    rows += [rows[k] + 0.35 * rng.normal(size=48) for k in range(12)]
+    centre = rng.normal(size=48)
+    rows += [centre + 0.1 * rng.normal(size=48) for _ in range(200)]
+    matrix = np.array(rows)
+    matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
+    near = matrix @ matrix.T >= 0.9
+    np.fill_diagonal(near, False)
+    component = united(range(len(rows)), list(zip(*np.nonzero(near), strict=True)))
+    want = sorted((k, int(near[k].sum()), component[k]) for k in range(len(rows)))
+    for some in (len(rows), 1512):
+        table = vectors(spark, [(k, [float(x) for x in v]) for k, v in enumerate(rows[:some])])
+        got = neighbours.near_duplicate_vectors(table, beam=1, block_rows=256)
+        assert sorted(collected(got, "vec_id", "n_links", "component_id")) == want[:some]
+
+
+def test_beams_are_widened_until_both_ends_are_found(spark):
+    rng = np.random.default_rng(4)
+    rows = [*rng.normal(size=(900, 48))]
+    rows += [rows[k] + 0.2 * rng.normal(size=48) for k in range(600)]
+    table = vectors(spark, [(k, [float(x) for x in v]) for k, v in enumerate(rows)])
+    got = collected(neighbours.near_duplicate_vectors(table, beam=1, block_rows=256, audit_linked=20), "vec_id", "n_links")
+    assert sum(n for _, n in got) >= 0.98 * 1200
+    # A pair is found for both of its vectors or for none.
+    assert all(dict(got)[k] == dict(got)[900 + k] for k in range(600))
+
+
 def test_vectors_of_an_empty_table(spark):
     assert neighbours.near_duplicate_vectors(vectors(spark, [])).count() == 0
 
