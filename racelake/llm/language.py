@@ -76,21 +76,30 @@ def fit(
     **options,
 ) -> LanguageModel:
     """Dictionaries from a bounded sample: for each language, the `sample_rows` labelled texts that are first by a
-    hash of the text; each gives an equal share of the `dictionary_bytes`. Null texts and languages are not learned
-    from. The driver holds at most `sample_rows` texts for each language."""
+    hash of the text. Whole texts are cut into pieces of `dictionary_bytes // sample_rows` bytes. Each text gives the
+    piece that is first by a hash, then each the second, and so on until `dictionary_bytes` are full; a piece counts
+    once in a language, so openings that many texts share take the room of one. Null texts and languages are not
+    learned from. The driver holds the dictionaries only."""
     labelled = docs.filter(F.col(text).rlike(r"\p{L}") & F.col(lang).isNotNull())
-    share = dictionary_bytes // sample_rows
-    part = labelled.select(
-        F.col(lang).alias("lang"),
-        F.xxhash64(text).alias("order"),
-        F.substring(F.lower(text).cast("binary"), 1, share).alias("content"),
-    ).distinct()
+    texts = labelled.select(F.col(lang).alias("lang"), F.xxhash64(text).alias("order"), F.col(text).alias("text"))
     # The rank limit is applied before the shuffle too, so a language of any size sends few rows.
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("order", "content"))
-    chosen = part.withColumn("rank", rank).filter(F.col("rank") <= sample_rows).collect()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("order"))
+    chosen = texts.select("lang", "order").distinct().withColumn("rank", rank).filter(F.col("rank") <= sample_rows)
+    named = texts.join(F.broadcast(chosen.select("lang", "order")), ["lang", "order"])
+    whole = named.groupBy("lang", "order").agg(F.min(F.lower("text").cast("binary")).alias("raw"))
+
+    size = max(1, dictionary_bytes // sample_rows)
+    starts = F.sequence(F.lit(1), F.length("raw"), F.lit(size))
+    cut = F.transform(starts, lambda at: F.substring(F.col("raw"), at, F.lit(size)))
+    hashed = F.sort_array(F.transform(F.array_distinct(cut), lambda p: F.struct(F.xxhash64(p).alias("h"), p.alias("p"))))
+    each = whole.select("lang", "order", F.posexplode(hashed).alias("turn", "piece"))
+    once = each.groupBy("lang", F.col("piece.p").alias("content")).agg(F.min(F.struct("turn", "order")).alias("place"))
+    before = Window.partitionBy("lang").orderBy("place", "content").rowsBetween(Window.unboundedPreceding, -1)
+    used = F.coalesce(F.sum(F.length("content") + 1).over(before), F.lit(0))
+    taken = once.withColumn("used", used).filter(F.col("used") + F.length("content") <= dictionary_bytes).collect()
     found: dict[str, list[tuple[int, bytes]]] = {}
-    for row in chosen:
-        found.setdefault(row["lang"], []).append((row["rank"], bytes(row["content"])))
+    for row in taken:
+        found.setdefault(row["lang"], []).append((row["used"], bytes(row["content"])))
     return LanguageModel({k: b"\n".join(c for _, c in sorted(v)) for k, v in sorted(found.items())}, **options)
 
 

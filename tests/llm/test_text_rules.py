@@ -131,6 +131,27 @@ def test_language_is_learned_and_rejected(spark):
     assert all(0 <= s <= 1 for *_, s, _ in got)
 
 
+def test_language_is_learned_from_whole_texts(spark):
+    rng = random.Random(4)
+    halves = {"aa": SYLLABLES[:8], "bb": SYLLABLES[8:]}
+    make = lambda lang, n: " ".join("".join(rng.choices(halves[lang], k=2)) for _ in range(n))
+    header = sentence(rng, 40)[:140]
+    rows = [(i, f"{header} {make('aa', 60)}", "aa", "s") for i in range(300)]
+    rows += [(400 + i, make("bb", 60), "bb", "s") for i in range(300)]
+    rows += [(800, sentence(rng, 12_000), "cc", "s")]
+    model = language.fit(documents(spark, rows))
+    assert model.dictionaries["aa"].count(header[:100].encode()) <= 1
+    assert all(31_000 < len(d) <= 32 << 10 for d in model.dictionaries.values())
+    pairs = {lang: {a + b for a in half for b in half} for lang, half in halves.items()}
+    for lang in pairs:
+        held = set(model.dictionaries[lang].decode().split())
+        assert pairs[lang] <= held
+    # One long text alone is learned from in all its parts.
+    text = rows[-1][1].encode()
+    at = [text.find(piece) for piece in model.dictionaries["cc"].split(b"\n")]
+    assert min(at) < len(text) / 8 and max(at) > len(text) * 7 / 8
+
+
 def test_language_without_labels(spark):
     model = language.fit(documents(spark, [(1, "text", None, "s")]))
     got = collected(language.identify_languages(documents(spark), model), "lang_pred", "rejected")
