@@ -9,10 +9,11 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+import sentencepiece
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from racelake.llm import jaccard, neighbours
+from racelake.llm import jaccard, language, mixing, neighbours, pieces
 from racelake.llm.components import connected_components
 from racelake.llm.groups import roots
 from corpus import collected, documents, sentence, words
@@ -164,3 +165,42 @@ def test_pipeline_stages(spark, tmp_path):
     assert {r[0] for r in collected(whole, "doc_id")} <= apart - {52, 53}
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), "").count() == 0, name
+
+
+def chain_by_hand(rows, model, codec):
+    """The stages but mixing, one after the other, on (doc_id, text, source): those columns and the piece ids."""
+    rows = [r for r in rows if not model.predict(r[1])[2]]
+    key = lambda line: line.strip(" \t\n\x0b\x0c\r").lower()
+    held = defaultdict(set)
+    for i, text, _ in rows:
+        for line in text.split("\n"):
+            if len(key(line)) >= 40:
+                held[key(line)].add(i)
+    gone = lambda i, line: len(held[key(line)]) >= 5 and max(held[key(line)]) != i
+    rows = [(i, "\n".join(x for x in t.split("\n") if not gone(i, x)), s) for i, t, s in rows]
+    sets = [(i, shingles(t)) for i, t, _ in rows]
+    pairs = [(i, j) for (i, a), (j, b) in combinations(sets, 2) if a and b and len(a & b) >= 0.8 * len(a | b)]
+    smallest = united({i for i, _ in sets}, pairs)
+    rows = [r for r in rows if smallest[r[0]] == r[0]]
+    return [(i, t, s, codec.encode(t)) for i, t, s in rows]
+
+
+def test_pipeline_equals_a_chain_by_hand(spark, tmp_path):
+    rng = random.Random(13)
+    line = "a line that every document of this corpus carries, word for word"
+    rows = [(i, f"{sentence(rng, rng.randint(30, 60))}\n{line}", "en" if i % 2 else "fr", f"s{i % 3}") for i in range(40)]
+    base = sentence(rng, 60)
+    rows += [(50, base, "en", "s1"), (51, base + " more", "en", "s1"), (52, "123 456", "en", "s2"), (53, None, "en", "s2")]
+    docs = documents(spark, rows).select("doc_id", "text", "lang", "source", "n_chars")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    before = chain_by_hand([(i, t, s) for i, t, _, s in rows], language.fit(docs), library)
+    # Copies come from the plan for the rows that the chain by hand leaves, which has tests of its own.
+    left = documents(spark, [(i, t, None, s) for i, t, s, _ in before])
+    copies = dict(collected(mixing.plan_mix(left), "id", "copies"))
+    want = Counter()
+    for i, text, source, ids in before:
+        want[i, text, source, tuple(ids), len(ids)] += copies[i]
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    found = Counter((i, t, s, tuple(ids), n) for i, t, s, ids, n in collected(got, "doc_id", "text", "source", "ids", "n_pieces"))
+    assert found == +want and len(found) > 20
