@@ -8,8 +8,24 @@ from functools import wraps
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from racelake.llm import interpolation, jaccard, language, lines, mixing, neighbours, pieces, quality, repeats, toxicity
+from racelake.llm import (
+    chat,
+    interactions,
+    interpolation,
+    jaccard,
+    language,
+    lines,
+    mixing,
+    neighbours,
+    pieces,
+    quality,
+    repair,
+    repeats,
+    streams,
+    toxicity,
+)
 from racelake.llm.workers import library_on_path
+from racelake.sources.scratch import stable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -194,3 +210,142 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 def op1_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     vectors = spark.read.parquet(f"{folder}/embeddings.parquet")
     return neighbours.near_duplicate_vectors(vectors).select("vec_id", "n_links", "component_id", "kept")
+
+
+def text_faults(text: Column) -> dict[str, Column]:
+    """Conditions A to D of the audit, over whole texts."""
+    trimmed = F.btrim(text, F.lit(" \t\n\x0b\x0c\r"))
+    tokens = F.split(trimmed, r"[ \t-\r]+")
+    n_words = F.when(trimmed == "", 0).otherwise(F.size(tokens))
+    capitals = F.length(text) - F.length(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))
+    return {
+        "A": n_words < 200,
+        "B": 100 * F.size(F.array_distinct(tokens)) < 50 * n_words,
+        "C": 100 * capitals > 2 * F.length(text),
+        "D": text.rlike(r"[#$%&*|]"),
+    }
+
+
+@query(
+    r"""
+WITH d AS (
+    SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+           regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+    FROM documents),
+l AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic
+      FROM labels GROUP BY doc_id),
+f AS (
+    SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+           (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT
+           + 4 * (100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 2 * length(text))::INT
+           + 8 * regexp_matches(text, '[#$%&*|]')::INT
+           + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)::INT AS mask
+    FROM d LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, mask, count(*) AS docs, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic
+      FROM f GROUP BY part, mask),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS o FROM x a, x b, x c, x d, x e
+      WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT o, unnest(range(1, 6)) AS step FROM o),
+b AS (SELECT o, step::INT AS step, o[step] AS letter, (1 << (ascii(o[step]) - 65)) AS bit,
+             list_sum(list_transform(range(1, step), lambda k: 1 << (ascii(o[k]) - 65)))::INT AS earlier
+      FROM s),
+r AS (
+    SELECT part, o AS filter_order, step, letter AS filter,
+           sum(CASE WHEN mask & (coalesce(earlier, 0) | bit) = 0 THEN docs ELSE 0 END)::BIGINT AS kept,
+           sum(CASE WHEN mask & coalesce(earlier, 0) = 0 AND mask & bit <> 0 THEN docs ELSE 0 END)::BIGINT AS removed,
+           sum(CASE WHEN mask & coalesce(earlier, 0) <> 0 AND mask & bit <> 0 THEN docs ELSE 0 END)::BIGINT AS redundant,
+           sum(CASE WHEN mask = bit THEN docs ELSE 0 END)::BIGINT AS unique_fails,
+           sum(CASE WHEN mask & coalesce(earlier, 0) = 0 AND mask & bit <> 0 THEN good ELSE 0 END)::BIGINT AS good_lost,
+           sum(CASE WHEN mask & coalesce(earlier, 0) = 0 AND mask & bit <> 0 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+    FROM c, b GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       sum(removed) OVER (PARTITION BY part, filter)::BIGINT AS shapley
+FROM r
+"""
+)
+def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet")
+    text = F.coalesce("text", F.lit(""))
+    # Texts are read once: what goes on is an id, the part, a hash of the text and five flags.
+    faults = {f"fails_{letter}": condition for letter, condition in text_faults(text).items()}
+    narrow = stable(docs.select("doc_id", "source", *interactions.text_hash(text), *[c.alias(n) for n, c in faults.items()]))
+    marked = interactions.with_copies(narrow, "doc_id", "fails_E")
+    known = labels.groupBy("doc_id").agg(
+        F.max(F.coalesce(F.col("quality") == 1, F.lit(False))).alias("good_lost"),
+        F.max(F.coalesce(F.col("toxic") == 1, F.lit(False))).alias("toxic_lost"),
+    )
+    audited = interactions.audit_filters(
+        marked.join(known, "doc_id", "left"),
+        {letter: F.col(f"fails_{letter}") for letter in "ABCDE"},
+        F.col("source"),
+        {name: F.col(name) for name in ("good_lost", "toxic_lost")},
+    )
+    return audited.drop("filter")
+
+
+def conversations(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/conversations.parquet")
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """Rows dropped, emptied, cut off, repeated or retitled by a hash of their id and turn; nulls are one space."""
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")]
+    fault = F.crc32(F.concat(parts[0], F.lit(":"), parts[1]).cast("binary")) % 20
+    role, text = (F.coalesce(F.col(c), F.lit(" ")) for c in ("role", "text"))
+    hit = turns.select(
+        "conv_id",
+        "turn",
+        F.when(fault == 4, "user").otherwise(role).alias("role"),
+        F.when(fault == 1, "").when(fault == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"),
+        F.when(fault == 0, 0).when(fault == 3, 2).otherwise(1).alias("times"),
+    )
+    return hit.withColumn("times", F.explode(F.array_repeat(F.lit(0), F.col("times")))).drop("times")
+
+
+@query()
+def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    turns = conversations(spark, folder)
+    report, repaired = repair.repair_conversations(damaged(turns))
+    hashed = streams.digests(repaired, "conv_id", F.concat("role", F.lit(":"), "text"))
+    every = turns.select(F.col("conv_id").alias("id")).distinct()
+    known = every.join(report, streams.same("id", "conv_id"), "left").drop("conv_id")
+    known = known.join(hashed, streams.same("id", "conv_id"), "left")
+    return known.select(
+        F.col("id").alias("conv_id"),
+        *[F.coalesce(c, F.lit(0)).alias(c) for c in "gaps blank duplicate truncated illegal cost".split()],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("digest", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
+    )
+
+
+_TAILS = "|".join(c[1:].replace("[", r"\[").replace("]", r"\]") for c in chat.CONTROLS)
+_SAID = "</s>[INST] ok [/INST]"
+_AROUND = {name: sum(map(len, pair)) for name, pair in chat.AROUND.items()}
+
+
+@query(
+    rf"""
+WITH c AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL VALUES (-7, 0, 'user', '{_SAID}'), (-7, 1, 'assistant', '{_SAID}')),
+e AS (
+    SELECT *, length(text) + len(regexp_extract_all(text, '[<\[]\\*(?:{_TAILS})')) AS n,
+           length(role) + len(regexp_extract_all(role, '[<\[]\\*(?:{_TAILS})')) AS r
+    FROM c)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(n + CASE role WHEN 'user' THEN {_AROUND["user"]} WHEN 'assistant' THEN {_AROUND["assistant"]}
+                         ELSE r + {sum(len(c) for c in (chat.ROLE, chat.AFTER_ROLE, chat.END))} END)::BIGINT AS formatted_chars,
+       0::BIGINT AS n_attachments, 0::BIGINT AS attachment_tokens
+FROM e GROUP BY conv_id
+"""
+)
+def op12_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    rows = [(-7, i, role, _SAID) for i, role in enumerate(("user", "assistant"))]
+    odd = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    turns = conversations(spark, folder).select("conv_id", "turn", "role", "text").unionByName(odd)
+    typed = turns.withColumn("parts", chat.text_part(F.col("text")))
+    return chat.digests(chat.format_conversations(typed), ordered=True)
