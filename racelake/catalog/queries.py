@@ -31,7 +31,7 @@ from racelake.operators.relations import (
     union_by_name,
     union_by_position,
 )
-from racelake.operators.split import time_split
+from racelake.operators.split import time_split, time_split_by_date
 from racelake.plans import datasets, laps, results, summaries, training
 from racelake.plans.lake import Lake, run_laps, run_season_results, to_bronze, to_silver, write_raw_session
 from racelake.schemas import schema
@@ -803,6 +803,24 @@ def time_split_results(spark, sf):
     return time_split(needed, ["date", "result_id"]).drop("date")
 
 
+_DATED_SQL = "(SELECT *, CAST(date AS DATE) AS day FROM season_results WHERE position IS NOT NULL)"
+
+
+@query(
+    "time_split_by_date",
+    f"""
+SELECT result_id, season, round, day <= (
+         SELECT max(day) FROM (SELECT day, sum(count(*)) OVER (ORDER BY day) AS so_far FROM {_DATED_SQL} r GROUP BY day) d
+         WHERE so_far <= (SELECT floor(count(*) * 0.8::DOUBLE) FROM {_DATED_SQL} r)) AS is_train
+FROM {_DATED_SQL} r""",
+    "season_results",
+)
+def time_split_at_a_date(spark, sf):
+    """A cut between two days: all results of a day are on one side."""
+    rows = views.season_results(spark, sf).dropna(subset=["position"])
+    return time_split_by_date(rows.select("date", "result_id", "season", "round"), "date").drop("date")
+
+
 # Models ------------------------------------------------------------------------------------------------------
 
 

@@ -15,7 +15,7 @@ number of blocks follows the stored size of the rows. Group keys may be null; nu
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -91,6 +91,31 @@ def add_row_number(
     )
 
 
+def add_running_sum(
+    df: DataFrame, by: Sequence[str], order: Sequence[str], sums: Mapping[str, str], split: bool = False
+) -> DataFrame:
+    """`df` with the sum of each key of `sums` from the group's first row to this one, as the value names it.
+
+    Rows that tie in `order` are added one by one. A sum of nothing but nulls is null.
+    """
+    if not split:
+        so_far = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.select("*", *[F.sum(c).over(so_far).alias(n) for c, n in sums.items()])
+
+    blocks = cut(df, by, order)
+    inside = Window.partitionBy(*by, BLOCK).orderBy(POS).rowsBetween(Window.unboundedPreceding, 0)
+    summed = blocks.select("*", *[F.sum(c).over(inside).alias(f"__in_{n}") for c, n in sums.items()])
+    earlier = _sums_in_earlier_blocks(blocks, by, sums)
+    total = {
+        n: F.when(
+            F.coalesce(f"__in_{n}", f"__before_{n}").isNotNull(),
+            F.coalesce(f"__in_{n}", F.lit(0)) + F.coalesce(f"__before_{n}", F.lit(0)),
+        )
+        for n in sums.values()
+    }
+    return _join_block(summed, earlier, by).select(*df.columns, *[c.alias(n) for n, c in total.items()])
+
+
 def add_next_known(
     df: DataFrame,
     by: Sequence[str],
@@ -194,17 +219,25 @@ def _rows_before(blocks: DataFrame, by: Sequence[str], depth: int, columns: Sequ
 
 
 def _rows_in_earlier_blocks(blocks: DataFrame, by: Sequence[str]) -> DataFrame:
-    runs = _rows_of(blocks, _tails(blocks, by), by).groupBy(*by, BLOCK).agg(F.count("*").alias("__run"))
-    heads = _heads(blocks, by)
+    counted = _sums_in_earlier_blocks(blocks.withColumn("__one", F.lit(1)), by, {"__one": "rows"})
+    return counted.withColumnRenamed("__before_rows", "__before")
+
+
+def _sums_in_earlier_blocks(blocks: DataFrame, by: Sequence[str], sums: Mapping[str, str]) -> DataFrame:
+    """For each block, the sums over its first group's rows in earlier blocks, as `__before_…`."""
+    rows = _rows_of(blocks, _tails(blocks, by), by, list(sums))
+    runs = rows.groupBy(*by, BLOCK).agg(*[F.sum(c).alias(f"__run_{n}") for c, n in sums.items()])
     # At one block the head sorts first, so that the block's own run is not counted.
     ends = runs.withColumn("__head", F.lit(False)).unionByName(
-        heads.select("*", F.lit(None).cast("long").alias("__run"), F.lit(True).alias("__head"))
+        _heads(blocks, by).withColumn("__head", F.lit(True)), allowMissingColumns=True
     )
     earlier = Window.partitionBy(*by).orderBy(BLOCK, F.desc("__head")).rowsBetween(Window.unboundedPreceding, -1)
+    before = {n: F.sum(f"__run_{n}").over(earlier).alias(f"__before_{n}") for n in sums.values()}
+    known = F.coalesce(*[F.col(f"__before_{n}") for n in before]).isNotNull()
     return (
-        ends.select("*", F.sum("__run").over(earlier).alias("__before"))
-        .filter("__head and __before is not null")
-        .select(*by, BLOCK, "__before")
+        ends.select("*", *before.values())
+        .filter(F.col("__head") & known)
+        .select(*by, BLOCK, *[f"__before_{n}" for n in before])
     )
 
 

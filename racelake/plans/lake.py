@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from racelake import schemas
 from racelake.plans import datasets, laps, results, summaries
 from racelake.sources.calendar import in_calendar
-from racelake.sources.documents import flatten_results, read_documents
+from racelake.sources.documents import flatten_results, read_documents, read_rescued
 from racelake.sources.scratch import stable
 from racelake.sources.tables import read_optional, read_required, write_table
 
@@ -115,10 +115,17 @@ def run_laps(lake: Lake, calendar: DataFrame | None = None, session_type: str =
     to_gold(lake)
 
 
-def run_season_results(lake: Lake, documents: str | Sequence[str], multi_line: bool = True) -> None:
-    """Documents of any number of seasons to the season prediction dataset."""
-    flat = flatten_results(read_documents(lake.spark, documents, multi_line))
-    lake.write(flat, "bronze", "season_results")
+def run_season_results(
+    lake: Lake, documents: str | Sequence[str], multi_line: bool = True, quarantine: bool = False
+) -> None:
+    """Documents of any number of seasons to the season prediction dataset. With `quarantine`, what they hold beyond
+    their declared shape, and broken ones, are kept in bronze as `season_results_quarantine`."""
+    if quarantine:
+        read, strays = read_rescued(lake.spark, documents, multi_line)
+        lake.write(strays, "bronze", "season_results_quarantine", ())
+    else:
+        read = read_documents(lake.spark, documents, multi_line)
+    lake.write(flatten_results(read), "bronze", "season_results")
     lake.write(results.clean_results(lake.read("bronze", "season_results")), "silver", "season_results")
     # Careers span all stored seasons, also those that this run does not replace.
     careers = read_required(lake.spark, lake.path("silver", "season_results"), lake.fmt)

@@ -15,7 +15,7 @@ from racelake.functions import to_time
 from racelake.operators.columns import stamp
 from racelake.operators.encode import one_hot_stages
 from racelake.operators.metrics import binary_metrics, class_report, confusion_matrix
-from racelake.operators.split import time_split
+from racelake.operators.split import time_split, time_split_by_date
 from racelake.plans.results import FEATURES, look_up_features
 
 # Target, text features, order of time, labels.
@@ -67,9 +67,13 @@ def train(
     estimator: Estimator,
     order: Sequence[str] = TIME_ORDER,
     fraction: float = 0.8,
+    whole_days: bool = False,
 ) -> Trained:
-    """Fits on the first part of the time-ordered rows and evaluates on the rest."""
-    rows = model_ready(time_split(prepare_training(dataset, order), order, fraction))
+    """Fits on the first part of the time-ordered rows and evaluates on the rest. `whole_days` cuts between two days
+    (of the first column in `order`), so that no race is on both sides and no row is sorted."""
+    prepared = prepare_training(dataset, order)
+    split = time_split_by_date(prepared, order[0], fraction) if whole_days else time_split(prepared, order, fraction)
+    rows = model_ready(split)
     model = build_model(estimator).fit(rows.filter("is_train"))
     predictions = model.transform(rows.filter("not is_train"))
     judged = predictions.select(F.col(TARGET).alias("label"), F.col("prediction").cast("int").alias("prediction"))

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from racelake.operators.ordered import add_row_number
+from racelake.operators.ordered import Past, add_past, add_row_number, add_running_sum
+from racelake.operators.relations import one_per_key
+from racelake.sources import variants
 
 
 def _texts(*names: str) -> list[T.StructField]:
@@ -40,7 +42,10 @@ PAGE = T.StructType(
         T.StructField(
             "MRData",
             T.StructType(
-                [*_texts("total"), T.StructField("RaceTable", T.StructType([T.StructField("Races", RACES)]))]
+                [
+                    *_texts("total", "limit", "offset"),
+                    T.StructField("RaceTable", T.StructType([*_texts("season"), T.StructField("Races", RACES)])),
+                ]
             ),
         )
     ]
@@ -65,18 +70,119 @@ def read_pages(spark: SparkSession, paths: str | Sequence[str], multi_line: bool
     return pages.select(F.col("MRData.RaceTable.Races").alias("Races"))
 
 
+def read_rescued(
+    spark: SparkSession, paths: str | Sequence[str], multi_line: bool = True
+) -> tuple[DataFrame, DataFrame]:
+    """Season documents, and a quarantine for what they can't hold.
+
+    Quarantined are texts that aren't JSON (`broken`, with the `text`), fields that the documents don't declare
+    (`undeclared`) and declared ones with another kind of value (`mismatched`), both with their `place` and their
+    `value` as VARIANT; `file` says where from. Everything else of such a document goes on as usual, and a document
+    that is broken or no object goes on as one without races. Blank texts and lines are neither.
+    """
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    texts = spark.read.text(paths, wholetext=multi_line)
+    read = texts.select(
+        F.col("value").alias("text"), F.col("_metadata.file_path").alias("file"), variants.parsed(F.col("value")).alias("value")
+    ).filter(variants.has_text(F.col("text")))
+    shape = F.col("value").try_cast(SEASON_DOCUMENT)
+    documents = read.select(shape["Races"].alias("Races"))
+    broken = read.filter(variants.is_broken(F.col("text"), F.col("value"))).select(
+        "file", F.lit("broken").alias("reason"), F.lit(variants.ROOT).alias("place"), F.lit(None).cast("variant").alias("value"), "text"
+    )
+    strays = variants.strays(read, "value", ["file"], SEASON_DOCUMENT)
+    return documents, strays.select("file", "reason", "place", "value", F.lit(None).cast("string").alias("text")).unionByName(broken)
+
+
+def read_placed_pages(spark: SparkSession, paths: str | Sequence[str], multi_line: bool = True) -> DataFrame:
+    """Pages with their place in the season: `season`, `offset`, `total`, `size` (results held), `Races`."""
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    pages = spark.read.schema(PAGE).option("multiLine", multi_line).json(paths)
+    races = F.col("MRData.RaceTable.Races")
+    held = F.aggregate(races, F.lit(0), lambda n, race: n + F.greatest(F.size(race["Results"]), F.lit(0)))
+    return pages.select(
+        F.coalesce("MRData.RaceTable.season", F.try_element_at(races, F.lit(1))["season"]).alias("season"),
+        F.coalesce(F.col("MRData.offset").try_cast("long"), F.lit(0)).alias("offset"),
+        F.col("MRData.total").try_cast("long").alias("total"),
+        F.coalesce(held, F.lit(0)).cast("long").alias("size"),
+        races.alias("Races"),
+    )
+
+
+def audit_pages(pages: DataFrame, split: bool = False) -> DataFrame:
+    """What is amiss in each season's pages (`season`, `offset`, `total`, `size`): rows of `season`, `issue`,
+    `first` and `last` result (from 0) and the number of `pages` involved.
+
+    * `missing`: results below the total that no page holds,
+    * `doubled`: a page that came more than once, with how often,
+    * `overlap`: results that pages of different extent hold, with how many,
+    * `beyond`: results from the total on,
+    * `totals`: pages disagree about the total; the greatest counts. `pages` is the number of different totals.
+
+    A sweep over the ends of the distinct pages adds up how many cover each stretch. Ends are summed by place before
+    it, so it sees two rows for each page at most, which `split` spreads over tasks for a season of any size.
+    """
+    by = ["season"]
+    extents = pages.groupBy("season", "offset", "size").agg(F.count(F.lit(1)).alias("pages"))
+    doubled = extents.filter("pages > 1").select(
+        "season", F.lit("doubled").alias("issue"), "offset", (F.col("offset") + F.col("size")).alias("end"), "pages"
+    )
+    totals = pages.groupBy("season").agg(
+        F.max("total").alias("total"), F.min("total").alias("least"), F.count_distinct("total").alias("pages")
+    )
+    differ = totals.filter("total <> least").select(
+        "season", F.lit("totals").alias("issue"), F.col("least").alias("offset"), F.col("total").alias("end"), "pages"
+    )
+    covered = extents.filter("size > 0")
+    ends = F.array(
+        F.struct(F.col("offset").alias("at"), F.lit(1).alias("more"), F.lit(0).alias("past")),
+        F.struct((F.col("offset") + F.col("size")).alias("at"), F.lit(-1).alias("more"), F.lit(0).alias("past")),
+    )
+    bounds = F.array(
+        F.struct(F.lit(0).cast("long").alias("at"), F.lit(0).alias("more"), F.lit(0).alias("past")),
+        F.struct(F.coalesce("total", F.lit(0)).alias("at"), F.lit(0).alias("more"), F.lit(1).alias("past")),
+    )
+    marks = covered.select("season", F.inline(ends)).unionByName(totals.select("season", F.inline(bounds)))
+    places = marks.groupBy("season", "at").agg(F.sum("more").alias("more"), F.sum("past").alias("past"))
+    swept = add_running_sum(places, by, ["at"], {"more": "__cover", "past": "__past"}, split)
+    steps = add_past(swept, by, ["at"], [Past(f"{c}_before", c, 1, "value") for c in ("at", "__cover", "__past")], split)
+    cover, past = F.col("__cover_before"), F.col("__past_before") > 0
+    issue = F.when(past & (cover > 0), "beyond").when(~past & (cover == 0), "missing").when(~past & (cover > 1), "overlap")
+    stretches = steps.select(
+        "season", issue.alias("issue"), F.col("at_before").alias("offset"), F.col("at").alias("end"), cover.alias("pages")
+    ).filter(F.col("issue").isNotNull())
+    found = stretches.unionByName(doubled).unionByName(differ)
+    return found.select("season", "issue", F.col("offset").alias("first"), (F.col("end") - 1).alias("last"), "pages")
+
+
+def unique_results(pages: DataFrame) -> DataFrame:
+    """The results of placed pages as `flatten_results` gives them, each place in a season once however many pages
+    hold it, with `season_place` (from 0)."""
+    # A page's results are numbered in its own order: races first, then results in them.
+    sizes = F.transform(F.col("Races"), lambda race: F.greatest(F.size(race["Results"]), F.lit(0)))
+    before = F.aggregate(F.slice("sizes", F.lit(1), F.col("__race")), F.lit(0), lambda a, b: a + b)
+    counted = pages.withColumn("sizes", sizes).select("season", "offset", "sizes", F.posexplode("Races").alias("__race", "race"))
+    numbered = counted.select("season", "offset", "race", before.alias("before"), F.posexplode("race.Results").alias("__at", "result"))
+    place = (F.col("offset") + F.col("before") + F.col("__at")).alias("season_place")
+    flat = numbered.select(F.col("season").alias("page_season"), place, *_leaves())
+    once = one_per_key(flat, ["page_season", "season_place"], [])
+    return once.drop("page_season")
+
+
 def flatten_results(documents: DataFrame) -> DataFrame:
     """One row for each result; a race without results and a document without races give none."""
     races = documents.select(F.explode("Races").alias("race"))
-    results = races.select("race", F.explode("race.Results").alias("result"))
-    leaves = [
+    return races.select("race", F.explode("race.Results").alias("result")).select(*_leaves())
+
+
+def _leaves() -> list[str]:
+    return [
         *[f"race.{c}" for c in ("season", "round", "raceName", "date")],
         *[f"race.Circuit.{c}" for c in CIRCUIT.names],
         *[f"result.Driver.{c}" for c in DRIVER.names],
         *[f"result.Constructor.{c}" for c in CONSTRUCTOR.names],
         *[f"result.{c}" for c in ("grid", "position", "points", "laps", "status")],
     ]
-    return results.select(*leaves)
 
 
 def nest_results(

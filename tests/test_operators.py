@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from racelake.operators import columns, encode, metrics, relations
-from racelake.operators.split import time_split
+from racelake.operators.split import time_split, time_split_by_date
 
 
 def rows(df):
@@ -165,3 +165,33 @@ def test_report_and_confusion(spark):
     assert rows(metrics.confusion_matrix(df.filter("label = 1"))) == [(0, 0, 0), (1, 3, 5)]
     many = spark.createDataFrame([(0, 0), (1, 1), (2, 1), (2, 2), (1, 2)], "label int, prediction int")
     assert rows(metrics.confusion_matrix(many)) == [(0, 1, 0, 0), (1, 0, 1, 1), (2, 0, 1, 1)]
+
+
+@pytest.mark.parametrize(
+    "days, fraction, train",
+    [
+        ([1, 1, 2, 2, 3, 3, 4, 4, 5, 5], 0.8, 8),
+        ([1, 1, 2, 2, 3, 3, 4, 5, 5, 5], 0.8, 7),
+        ([1] * 9 + [2], 0.8, 0),
+        ([None, None, 1, 2, 2], 0.8, 3),
+        ([None] * 9 + [1], 0.8, 0),
+        ([1, 2, 3], 1.0, 3),
+        ([], 0.8, 0),
+    ],
+)
+def test_split_between_days(spark, days, fraction, train):
+    day = F.make_date(F.lit(2024), F.lit(1), F.col("d"))
+    # Times of one day stay together.
+    rows = spark.createDataFrame([(i, d) for i, d in enumerate(days)], "i int, d int").select("i", "d", day.cast("timestamp").alias("t"))
+    timed = rows.withColumn("t", F.col("t") + F.make_dt_interval(hours=F.col("i")))
+    got = time_split_by_date(timed, "t", fraction).collect()
+    assert sum(r.is_train for r in got) == train
+    assert all(r.is_train is not None for r in got) and len(got) == len(days)
+    known = [(r.d or 0, r.is_train) for r in got]
+    assert all(a[1] >= b[1] for a in known for b in known if a[0] < b[0])
+
+
+def test_split_between_days_moves_no_row(spark):
+    rows = spark.range(100).select("id", F.date_add(F.lit("2024-01-01").cast("date"), F.col("id").cast("int")).alias("day"))
+    plan = time_split_by_date(rows, "day")._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and "Join" not in plan

@@ -5,7 +5,14 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from racelake.operators.ordered import Past, add_next_known, add_past, add_row_number, add_table_position
+from racelake.operators.ordered import (
+    Past,
+    add_next_known,
+    add_past,
+    add_row_number,
+    add_running_sum,
+    add_table_position,
+)
 
 PAST = [
     Past("mean3", "v", 3),
@@ -136,3 +143,13 @@ def test_small_groups_cost_one_exchange(spark):
     df = spark.range(100).select((F.col("id") % 5).alias("g"), F.col("id").alias("t"), F.rand(1).alias("v"))
     plan = add_past(df, ["g"], ["t"], PAST)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Window [") == 1
+
+
+@pytest.mark.parametrize("split", [False, True])
+def test_running_sum(spark, split):
+    rows = [(g, i, None if g == "n" or i % 5 == 0 else i) for g in ("a", "b", "n", None) for i in range(40)]
+    df = spark.createDataFrame(rows, "g string, t int, v int").repartition(3)
+    got = {(r.g, r.t): (r.s, r.c) for r in add_running_sum(df.withColumn("one", F.lit(1)), ["g"], ["t"], {"v": "s", "one": "c"}, split).collect()}
+    for g, t, _ in rows:
+        so_far = [v for h, i, v in rows if h == g and i <= t and v is not None]
+        assert got[g, t] == (sum(so_far) if so_far else None, t + 1)
