@@ -1 +1,159 @@
-"""Lakes that are run again in part, bound to the driver's tables."""
+"""Lakes that are run again in part, and stored layouts, bound to the driver's tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from racelake.catalog import views
+from racelake.catalog.oracle import VIEWS, view, with_views
+from racelake.catalog.queries import (
+    _RATES_SQL,
+    ORACLES,
+    TEAM_FORM_MEANS,
+    _judged,
+    _requests,
+    query,
+    rounded,
+    rounded_sql,
+    silver_race_laps,
+)
+from racelake.operators.metrics import binary_metrics, class_report, confusion_matrix
+from racelake.plans import results, training
+from racelake.plans.lake import Lake, run_season_results, to_gold
+from racelake.sources import documents
+from racelake.sources.lookup import read_lookup, write_lookup
+from racelake.sources.ordered_tables import write_in_order
+from racelake.sources.scratch import new_path, stable
+from racelake.sources.tables import read_table
+
+# A season whose results come again with other grid places, and without a third of them.
+_AGAIN = 1995
+view("rerun_results")(f"""
+SELECT * REPLACE (CASE WHEN season = {_AGAIN} THEN 1 ELSE grid END AS grid) FROM ({VIEWS["season_results"][1]}) s
+WHERE NOT (season = {_AGAIN} AND result_id % 3 = 0)""")
+
+
+def _rerun_lake(spark, sf) -> Lake:
+    path = new_path(spark, "lake")
+    flat = views.flat_results(views.season_results(spark, sf))
+    documents.write_documents(documents.nest_results(flat, ["result_id"]), f"{path}/documents")
+    lake = Lake(spark, path)
+    run_season_results(lake, f"{path}/documents", multi_line=False)
+    again = flat.filter((F.col("season") == str(_AGAIN)) & (F.col("result_id") % 3 != 0)).withColumn("grid", F.lit("1"))
+    documents.write_documents(documents.nest_results(again, ["result_id"]), f"{path}/again")
+    run_season_results(lake.of([_AGAIN]), f"{path}/again", multi_line=False)
+    return lake
+
+
+@query("career_rerun", with_views("SELECT * FROM driver_stats", "driver_stats", instead={"season_results": "rerun_results"}))
+def career_rerun(spark, sf):
+    """Careers after one season came again: its shares are replaced, the others are added as they were."""
+    return read_lookup(spark, _rerun_lake(spark, sf).path("gold", "driver_stats"))
+
+
+@query(
+    "career_rerun_teams",
+    with_views("SELECT * FROM constructor_stats", "constructor_stats", instead={"season_results": "rerun_results"}),
+)
+def career_rerun_teams(spark, sf):
+    return read_lookup(spark, _rerun_lake(spark, sf).path("gold", "constructor_stats"))
+
+
+# A race that is struck from its season after all seasons were run.
+_STRUCK = "season = 1995 AND race = 'race_3'"
+view("rerun_laps", "race_weather", "race_results")(
+    f"SELECT * FROM ({VIEWS['silver_race_laps'][1]}) s WHERE NOT ({_STRUCK})"
+)
+for _who, _entity in (("driver", "driver"), ("constructor", "team_name")):
+    view(f"{_who}_form_carried", f"{_who}_summary")(
+        VIEWS[f"{_who}_form"][1].replace(f"PARTITION BY {_entity}, season", f"PARTITION BY {_entity}")
+    )
+
+
+def _carried_lake(spark, sf) -> Lake:
+    lake = Lake(spark, new_path(spark, "lake"))
+    silver = stable(silver_race_laps(spark, sf))
+    lake.write_by_driver(silver, "silver", "laps")
+    to_gold(lake, carry_over=True)
+    one = lake.of([1995])
+    one.write_by_driver(silver.filter(f"NOT ({_STRUCK})"), "silver", "laps")
+    to_gold(one, carry_over=True)
+    return lake
+
+
+@query(
+    "form_carry_rerun",
+    with_views("SELECT * FROM driver_form_carried", "driver_form_carried", instead={"silver_race_laps": "rerun_laps"}),
+)
+def form_carry_rerun(spark, sf):
+    """Form across seasons after one season came again, taken up from the state that the season before left."""
+    return _carried_lake(spark, sf).read("gold", "driver_recent_form")
+
+
+@query(
+    "form_carry_rerun_teams",
+    with_views(
+        rounded_sql(TEAM_FORM_MEANS, "constructor_form_carried"),
+        "constructor_form_carried",
+        instead={"silver_race_laps": "rerun_laps"},
+    ),
+)
+def form_carry_rerun_teams(spark, sf):
+    return rounded(_carried_lake(spark, sf).read("gold", "constructor_recent_form"), *TEAM_FORM_MEANS)
+
+
+@query("feature_lookup_few", f"{ORACLES['feature_lookup']} WHERE q.season = 1995 AND q.round = 3")
+def feature_lookup_few(spark, sf):
+    """Features of one race's entries from stored careers, of which only their keys' folders are read."""
+    rows = stable(views.season_results(spark, sf))
+    path = new_path(spark, "careers")
+    write_lookup(results.driver_stats(rows), f"{path}/drivers", "code")
+    write_lookup(results.constructor_stats(rows), f"{path}/constructors", "constructor_id")
+    requests = _requests(rows.filter("season = 1995 AND round = 3"))
+    return results.look_up_stored(requests, f"{path}/drivers", f"{path}/constructors")
+
+
+_REPORT_SQL = ORACLES["class_report"]
+_LOG_SQL = f"""
+SELECT run, artefact, entry, metric, round(value, 9) AS value FROM (
+  SELECT 'metrics' AS artefact, NULL AS entry, unnest(['accuracy', 'f1', 'precision', 'recall']) AS metric,
+         unnest([accuracy, CASE WHEN precision + recall > 0 THEN 2.0::DOUBLE * precision * recall / (precision + recall)
+                 ELSE 0 END, precision, recall]) AS value FROM ({_RATES_SQL}) r
+  UNION ALL
+  SELECT 'report', class, unnest(['precision', 'recall', 'f1', 'support']), unnest([precision, recall, f1, support::DOUBLE])
+  FROM ({_REPORT_SQL}) p
+  UNION ALL
+  SELECT 'confusion', CAST(label AS VARCHAR), unnest(['predicted_0', 'predicted_1']),
+         unnest([predicted_0::DOUBLE, predicted_1::DOUBLE]) FROM ({ORACLES["confusion_matrix"]}) c) a,
+  (VALUES ('first'), ('second')) v(run)"""
+
+
+@query("run_log", _LOG_SQL)
+def run_log(spark, sf):
+    """Two runs, one of them logged twice: each has one set of numbers, report and confusion matrix."""
+    judged, path = _judged(spark, sf), new_path(spark, "runs")
+    artefacts = training.Trained(None, judged, binary_metrics(judged), class_report(judged), confusion_matrix(judged))
+    for run in ("first", "second", "first"):
+        training.log_run(training.run_artefacts(artefacts, run), path)
+    return read_table(spark, path).withColumn("value", F.round("value", 9))
+
+
+_TIME = ["lapstartdate", "driver", "race", "lap_number"]
+
+
+@query(
+    "laps_in_time_order",
+    f"""
+SELECT season, race, driver, lap_number, lapstartdate, lap_time_ms,
+       row_number() OVER (PARTITION BY season ORDER BY {", ".join(_TIME)}) AS time_order
+FROM race_laps
+QUALIFY lapstartdate >= DATE '1995-03-01' AND lapstartdate < DATE '1995-04-01' OR season <> 1995""",
+    "race_laps",
+)
+def laps_in_time_order(spark, sf):
+    """Stored in time order with each lap's place in its season; one season is then read for a month only."""
+    path = new_path(spark, "ordered")
+    laps = views.race_laps(spark, sf).select("season", "race", "driver", "lap_number", "lapstartdate", "lap_time_ms")
+    write_in_order(laps, path, _TIME, "time_order", ["season"])
+    month = (F.col("lapstartdate") >= F.lit("1995-03-01").cast("date")) & (F.col("lapstartdate") < F.lit("1995-04-01").cast("date"))
+    return read_table(spark, path).filter(month | (F.col("season") != 1995)).select(*laps.columns, "time_order")

@@ -36,6 +36,7 @@ from racelake.plans import datasets, laps, results, summaries, training
 from racelake.plans.lake import Lake, run_laps, run_season_results, to_bronze, to_silver, write_raw_session
 from racelake.schemas import schema
 from racelake.sources import calendar, documents
+from racelake.sources.bucketed import stable_bucketed
 from racelake.sources.scratch import new_path, stable
 from racelake.sources.tables import read_all, read_optional, read_table, write_table
 
@@ -192,9 +193,9 @@ FROM (
 def lap_ml_table(spark, sf):
     silver = stable(silver_race_laps(spark, sf))
     summary = stable(summaries.driver_race_summary(silver))
-    rows = stable(datasets.lap_dataset(silver))
-    forms = [stable(form) for form in both_forms(summary)]
-    return rounded(datasets.lap_ml_table(rows, *forms), *JOINED_MEANS)
+    rows = stable_bucketed(datasets.lap_dataset(silver), datasets.DRIVER_KEY, ["lap_number"])
+    history = stable_bucketed(datasets.lap_history(*both_forms(summary)), datasets.DRIVER_KEY)
+    return rounded(datasets.lap_ml_table_as_stored(rows, history), *JOINED_MEANS)
 
 
 @query(

@@ -131,6 +131,36 @@ def history_filled(df: DataFrame) -> DataFrame:
     return fill(presence_flags(df, HISTORY_FLAGS), HISTORY_DEFAULTS)
 
 
+def lap_history(driver_form: DataFrame, team_form: DataFrame) -> DataFrame:
+    """Both forms at the grain of a driver's race: the driver's own under its prefix, and `teams`, a map from the teams
+    the driver raced for in it to the team's form. Nothing here is as long as a lap table."""
+    drivers = prefix_only(driver_form.select(*DRIVER_KEY, "team_name", *FORM_NAMES), "driver_", FORM_NAMES)
+    teams = team_form.select(*TEAM_RACE, F.struct(*FORM_NAMES).alias("form"))
+    entered = left_enrich(drivers, teams, TEAM_RACE)
+    own = F.struct(*[f"driver_{c}" for c in FORM_NAMES])
+    known = F.col("team_name").isNotNull() & F.col("form").isNotNull()
+    gathered = entered.groupBy(*DRIVER_KEY).agg(
+        F.collect_list(own).alias("own"),
+        F.map_from_entries(F.collect_set(F.when(known, F.struct("team_name", "form")))).alias("teams"),
+    )
+    return gathered.select(*DRIVER_KEY, "teams", F.inline("own"))
+
+
+def lap_ml_table_as_stored(
+    laps: DataFrame, history: DataFrame, sentinels: Sequence[str] = NO_COMPOUND, ordered: bool = True, keep_time: bool = False
+) -> DataFrame:
+    """`lap_ml_table` for laps and history (of the same laps) in buckets of the driver's key: the fill and the only
+    join go by that key, so laps stay where they are stored."""
+    filled = fill(known_compound(laps, sentinels), TYRE_DEFAULTS)
+    team = F.try_element_at("teams", F.col("team_name"))
+    joined = left_enrich(filled, history, DRIVER_KEY)
+    return _completed(
+        joined.select(*[c for c in joined.columns if c != "teams"], *[team[c].alias(f"constructor_{c}") for c in FORM_NAMES]),
+        ordered,
+        keep_time,
+    )
+
+
 def lap_ml_table(
     laps: DataFrame,
     driver_form: DataFrame,
@@ -146,8 +176,14 @@ def lap_ml_table(
     drivers = prefix_only(driver_form.select(*DRIVER_KEY, *FORM_NAMES), "driver_", FORM_NAMES)
     teams = prefix_only(team_form.select(*TEAM_RACE, *FORM_NAMES), "constructor_", FORM_NAMES)
     filled = fill(known_compound(laps, sentinels, split), TYRE_DEFAULTS)
-    joined = left_enrich(left_enrich(filled, drivers, DRIVER_KEY), teams, TEAM_RACE)
+    return _completed(left_enrich(left_enrich(filled, drivers, DRIVER_KEY), teams, TEAM_RACE), ordered)
+
+
+TIME_ORDER = ["lap_context_time", "driver", "lap_number"]
+
+
+def _completed(joined: DataFrame, ordered: bool, keep_time: bool = False) -> DataFrame:
     complete = history_filled(flags_to_int(joined, LAP_FLAGS))
     if ordered:
-        complete = complete.orderBy("lap_context_time", "driver", "lap_number")
-    return complete.drop("lap_context_time", "driver_number")
+        complete = complete.orderBy(*TIME_ORDER)
+    return complete.drop("driver_number") if keep_time else complete.drop("lap_context_time", "driver_number")

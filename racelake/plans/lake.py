@@ -1,9 +1,10 @@
 """All stages in order of dependency, each reading what earlier stages stored.
 
-Layout: `{lake}/{layer}/{table}`, partitioned by season and race where rows are per session; raw tables by session
-type too. Silver and gold tables are replaced by whole seasons: those of the run, or all, so that a race that no
-longer has rows leaves none behind. Raw and bronze replace the sessions they get rows for; a race that is dropped from
-the calendar stays in bronze until its season's folder is removed.
+Layout: `{lake}/{layer}/{table}`. Raw and bronze tables are partitioned by season and race, raw ones by session type
+too, and replace the sessions they get rows for; a race that is dropped from the calendar stays in bronze until its
+season's folder is removed. Silver and gold tables are partitioned by season and replaced by whole seasons: those of
+the run, or all, so that a race that no longer has rows leaves none behind. Tables of laps, and what is joined to them,
+also lie in buckets of (race, driver): from silver on, laps are aggregated, windowed and joined where they are stored.
 """
 
 from __future__ import annotations
@@ -15,11 +16,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from racelake import schemas
+from racelake.operators.ordered import Past
 from racelake.plans import datasets, laps, results, summaries
+from racelake.sources.bucketed import Layout, default_buckets, read_bucketed, write_bucketed
 from racelake.sources.calendar import in_calendar
 from racelake.sources.documents import flatten_results, read_documents, read_rescued
-from racelake.sources.scratch import stable
-from racelake.sources.tables import read_optional, read_required, write_table
+from racelake.sources.lookup import read_lookup, write_lookup
+from racelake.sources.ordered_tables import write_in_order
+from racelake.sources.tables import read_optional, read_required, replace_partitions, stored_values, write_table
 
 # Table names and their raw shapes.
 SESSION_TABLES = {
@@ -31,8 +35,23 @@ SESSION = ["season", "race"]
 
 
 class Lake:
-    def __init__(self, spark: SparkSession, root: str, fmt: str = "parquet", seasons: Sequence[int] | None = None):
+    """Tables under one root, and the seasons that a run replaces (None: all). `buckets` counts for tables that don't
+    exist yet; tables of another format than Parquet have none."""
+
+    def __init__(
+        self,
+        spark: SparkSession,
+        root: str,
+        fmt: str = "parquet",
+        seasons: Sequence[int] | None = None,
+        buckets: int | None = None,
+    ):
         self.spark, self.root, self.fmt, self.seasons = spark, root.rstrip("/"), fmt, seasons
+        self.buckets = buckets or default_buckets(spark)
+
+    def of(self, seasons: Sequence[int] | None) -> Lake:
+        """The same lake for a run over other seasons."""
+        return Lake(self.spark, self.root, self.fmt, seasons, self.buckets)
 
     def path(self, layer: str, table: str) -> str:
         return f"{self.root}/{layer}/{table}"
@@ -49,14 +68,30 @@ class Lake:
         write_table(df, self.path(layer, table), partition_by, self.fmt, touched_only=True)
 
     def write(self, df: DataFrame, layer: str, table: str, partition_by: Sequence[str] = ("season",)) -> None:
-        """Replaces the seasons of the run as a whole, also where `df` has no rows for them."""
+        """Replaces the seasons of the run as a whole, or all of them, also where `df` has no rows for them.
+
+        One job writes all seasons; until it has succeeded, the old table stays.
+        """
         path = self.path(layer, table)
-        if self.seasons is None or "season" not in partition_by:
-            write_table(df, path, partition_by, self.fmt)
+        if not partition_by:
+            write_table(df, path, (), self.fmt)
+            return
+        within = self.seasons if partition_by[0] == "season" else None
+        replace_partitions(df, path, partition_by, self.fmt, within)
+
+    def write_by_driver(self, df: DataFrame, layer: str, table: str, placed: bool = False) -> None:
+        """`write` by season, in buckets of (race, driver). `placed` rows come from such a table and stay put."""
+        if self.fmt != "parquet":
+            self.write(df, layer, table)
             return
-        rows, rest = stable(df), [c for c in partition_by if c != "season"]
-        for season in self.seasons:
-            write_table(rows.filter(F.col("season") == season).drop("season"), f"{path}/season={season}", rest, self.fmt)
+        order = ("lap_number",) if "lap_number" in df.columns else ()
+        layout = Layout(self.buckets, ("race", "driver"), order, ("season",))
+        write_bucketed(df, self.path(layer, table), layout, self.seasons, placed)
+
+    def read_by_driver(self, layer: str, table: str) -> DataFrame:
+        if self.fmt != "parquet":
+            return self.read(layer, table)
+        return self._wanted(read_bucketed(self.spark, self.path(layer, table)))
 
     def _wanted(self, df: DataFrame) -> DataFrame:
         return df if self.seasons is None else df.filter(F.col("season").isin(list(self.seasons)))
@@ -85,34 +120,71 @@ def to_silver(lake: Lake, separator: str | None = ";") -> None:
         if name != "laps"
     }
     laps_table = lake.read("bronze", "laps")
-    lake.write(laps.silver(laps_table, tables["lap_weather"], tables["results"], separator), "silver", "laps", SESSION)
+    lake.write_by_driver(laps.silver(laps_table, tables["lap_weather"], tables["results"], separator), "silver", "laps")
 
 
-def to_gold(lake: Lake) -> None:
-    silver = lake.read("silver", "laps")
+def to_gold(lake: Lake, carry_over: bool = False, in_order: bool = False) -> None:
+    """`carry_over` lets form go on across seasons: it is taken up from the state that the season before left, and
+    seasons after those of the run are done again, as theirs depends on it. `in_order` stores the lap table in time
+    order, with each lap's place in its season."""
+    if carry_over and lake.seasons is not None:
+        stored = [int(v) for v in stored_values(lake.spark, lake.path("silver", "laps"), "season", lake.fmt)]
+        lake = lake.of(sorted({*lake.seasons, *[s for s in stored if s > min(lake.seasons)]}))
+    silver = lake.read_by_driver("silver", "laps")
     lake.write(summaries.driver_race_summary(silver), "gold", "driver_race_summary")
     drivers = lake.read("gold", "driver_race_summary")
     lake.write(summaries.constructor_race_summary(drivers), "gold", "constructor_race_summary")
-    lake.write(
-        summaries.constructor_recent_form(lake.read("gold", "constructor_race_summary")),
-        "gold",
-        "constructor_recent_form",
-    )
-    lake.write(summaries.driver_recent_form(drivers), "gold", "driver_recent_form")
+    for who, entity, past in (
+        ("driver", "driver", summaries.DRIVER_FORM),
+        ("constructor", "team_name", summaries.TEAM_FORM),
+    ):
+        summary = lake.read("gold", f"{who}_race_summary")
+        form = _carried_form(lake, summary, who, entity, past) if carry_over else summaries.recent_form(summary, entity, past)
+        lake.write(form, "gold", f"{who}_recent_form")
     driver_form = lake.read("gold", "driver_recent_form")
     team_form = lake.read("gold", "constructor_recent_form")
     lake.write(datasets.race_dataset(drivers, driver_form, team_form), "gold", "prediction_dataset")
-    lake.write(datasets.lap_dataset(silver), "gold", "lap_prediction_dataset")
-    lap_rows = lake.read("gold", "lap_prediction_dataset")
-    # Stored by season, so a global order would not survive; readers sort.
-    ml = datasets.lap_ml_table(lap_rows, driver_form, team_form, ordered=False)
-    lake.write(ml, "gold", "lap_ml_table")
-
-
-def run_laps(lake: Lake, calendar: DataFrame | None = None, session_type: str = "R") -> None:
+    lake.write_by_driver(datasets.lap_history(driver_form, team_form), "gold", "lap_history")
+    lake.write_by_driver(datasets.lap_dataset(silver), "gold", "lap_prediction_dataset", placed=True)
+    ml = lap_rows_for_models(lake, keep_time=in_order)
+    if in_order:
+        write_in_order(ml, lake.path("gold", "lap_ml_table"), datasets.TIME_ORDER, "time_order", ["season"], lake.fmt, lake.seasons)
+    else:
+        lake.write(ml, "gold", "lap_ml_table")
+
+
+def lap_rows_for_models(lake: Lake, keep_time: bool = False) -> DataFrame:
+    """The lap table for models from what is stored, in no order; laps stay in their buckets."""
+    lap_rows = lake.read_by_driver("gold", "lap_prediction_dataset")
+    history = lake.read_by_driver("gold", "lap_history")
+    return datasets.lap_ml_table_as_stored(lap_rows, history, ordered=False, keep_time=keep_time)
+
+
+def _carried_form(lake: Lake, summary: DataFrame, who: str, entity: str, past: Sequence[Past]) -> DataFrame:
+    table = f"{who}_form_state"
+    before = None
+    if lake.seasons is not None:
+        known = [int(v) for v in stored_values(lake.spark, lake.path("gold", table), "as_of", lake.fmt)]
+        earlier = [s for s in known if s < min(lake.seasons)]
+        if earlier:
+            state = read_required(lake.spark, lake.path("gold", table), lake.fmt)
+            before = state.filter(F.col("as_of") == max(earlier)).drop("as_of")
+    seasons = lake.seasons or [int(v) for v in stored_values(lake.spark, lake.path("gold", f"{who}_race_summary"), "season", lake.fmt)]
+    after = summaries.form_state(summary, entity, past, seasons, before)
+    replace_partitions(after, lake.path("gold", table), ["as_of"], lake.fmt, lake.seasons)
+    return summaries.carried_form(summary, entity, past, before)
+
+
+def run_laps(
+    lake: Lake,
+    calendar: DataFrame | None = None,
+    session_type: str = "R",
+    carry_over: bool = False,
+    in_order: bool = False,
+) -> None:
     to_bronze(lake, calendar, session_type)
     to_silver(lake)
-    to_gold(lake)
+    to_gold(lake, carry_over, in_order)
 
 
 def run_season_results(
@@ -127,14 +199,30 @@ def run_season_results(
         read = read_documents(lake.spark, documents, multi_line)
     lake.write(flatten_results(read), "bronze", "season_results")
     lake.write(results.clean_results(lake.read("bronze", "season_results")), "silver", "season_results")
-    # Careers span all stored seasons, also those that this run does not replace.
-    careers = read_required(lake.spark, lake.path("silver", "season_results"), lake.fmt)
-    lake.write(results.driver_stats(careers), "gold", "driver_stats", ())
-    lake.write(results.constructor_stats(careers), "gold", "constructor_stats", ())
+    write_careers(lake)
     lake.write(results.race_features(lake.read("silver", "season_results")), "gold", "race_features")
     dataset = results.season_dataset(
         lake.read("gold", "race_features"),
-        read_required(lake.spark, lake.path("gold", "driver_stats"), lake.fmt),
-        read_required(lake.spark, lake.path("gold", "constructor_stats"), lake.fmt),
+        *[read_lookup(lake.spark, lake.path("gold", f"{who}_stats"), lake.fmt) for who in CAREERS],
     )
     lake.write(dataset, "gold", "season_dataset")
+
+
+# Career tables: their key, their prefix, and the place that counts as a win.
+CAREERS = {
+    "driver": ("code", "driver_", results.WINNER),
+    "constructor": ("constructor_id", "constructor_", results.TOP),
+}
+
+
+def write_careers(lake: Lake) -> None:
+    """Career statistics over all stored seasons. Each season's share is kept, so a run reads the results of its own
+    seasons only, and the shares of all."""
+    for who, (key, prefix, wins_within) in CAREERS.items():
+        shares = lake.path("gold", f"{who}_season_shares")
+        # A lake without shares gets those of every season.
+        known = stored_values(lake.spark, shares, "season", lake.fmt)
+        run = lake if known else lake.of(None)
+        run.write(results.career_shares(run.read("silver", "season_results"), key, wins_within), "gold", f"{who}_season_shares")
+        stats = results.merged_careers(read_required(lake.spark, shares, lake.fmt), key, prefix)
+        write_lookup(stats, lake.path("gold", f"{who}_stats"), key, lake.fmt)

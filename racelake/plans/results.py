@@ -9,6 +9,7 @@ from racelake.functions import as_flag, at_most, gain
 from racelake.operators.columns import prefix_except, rename_present
 from racelake.operators.relations import distinct_rows, left_enrich
 from racelake.schemas import RESULTS, conform
+from racelake.sources.lookup import look_up
 
 # Names after cleaning, and the places that count.
 CLEAN_NAMES = {
@@ -62,6 +63,44 @@ def career_stats(results: DataFrame, key: str, prefix: str, wins_within: int = W
     return prefix_except(stats, prefix, [key])
 
 
+def career_shares(results: DataFrame, key: str, wins_within: int = WINNER) -> DataFrame:
+    """What each season adds to the career of each `key`: sums and counts, which can be added up."""
+    place, gained = F.col("position"), gain(F.col("grid"), F.col("position"))
+
+    def within(limit: int):
+        return F.sum(as_flag(place <= limit))
+
+    return results.groupBy("season", key).agg(
+        F.count("*").alias("num_races"),
+        F.sum(place).alias("position_sum"),
+        F.count(place).alias("position_n"),
+        F.sum("points").alias("points_sum"),
+        F.count("points").alias("points_n"),
+        within(wins_within).alias("wins"),
+        within(TOP).alias("top10_finishes"),
+        within(PODIUM).alias("podium_finishes"),
+        F.sum(gained).alias("gain_sum"),
+        F.count(gained).alias("gain_n"),
+    )
+
+
+def merged_careers(shares: DataFrame, key: str, prefix: str) -> DataFrame:
+    """`career_stats` from the shares of any seasons."""
+
+    def mean(name: str):
+        n = F.sum(f"{name}_n")
+        return F.when(n > 0, F.sum(f"{name}_sum") / n)
+
+    stats = shares.groupBy(key).agg(
+        F.sum("num_races").alias("num_races"),
+        mean("position").alias("avg_position"),
+        mean("points").alias("avg_points"),
+        *[F.sum(c).alias(c) for c in ("wins", "top10_finishes", "podium_finishes")],
+        mean("gain").alias("avg_position_gain"),
+    )
+    return prefix_except(stats, prefix, [key])
+
+
 def driver_stats(results: DataFrame) -> DataFrame:
     return career_stats(results, "code", "driver_")
 
@@ -110,6 +149,19 @@ def look_up_features(requests: DataFrame, drivers: DataFrame, constructors: Data
     return wanted.select(*others, *FEATURES, reason.alias("reason"))
 
 
+def look_up_stored(
+    requests: DataFrame, driver_path: str, constructor_path: str, fmt: str = "parquet"
+) -> DataFrame:
+    """`look_up_features` from career tables that `write_lookup` has stored: a few requests read the folders of their
+    keys, not all careers."""
+    if "code" not in requests.columns:
+        requests = requests.withColumn("code", F.col("driver_id"))
+    spark = requests.sparkSession
+    drivers = look_up(spark, driver_path, "code", requests, fmt)
+    constructors = look_up(spark, constructor_path, "constructor_id", requests, fmt)
+    return look_up_features(requests, drivers, constructors)
+
+
 def accepted(looked_up: DataFrame) -> DataFrame:
     return looked_up.filter(F.col("reason").isNull()).drop("reason")
 

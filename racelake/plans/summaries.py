@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from racelake.functions import as_flag, at_most, differs, gain
@@ -103,7 +103,53 @@ def recent_form(
     so (`carry_over`, rows without a driver or team), pass `split`.
     """
     by = [entity] if carry_over else [entity, "season"]
-    return add_past(summary, by, ["race_date", "race"], past, split)
+    return add_past(summary, by, RACE_ORDER, past, split)
+
+
+#: Rows of a summary that a form can look back at, and the order of an entity's races.
+DEPTH = max(p.rows for p in DRIVER_FORM)
+RACE_ORDER = ["race_date", "race"]
+
+
+def carried_form(
+    summary: DataFrame, entity: str, past: Sequence[Past], before: DataFrame | None = None, split: bool = False
+) -> DataFrame:
+    """Form across seasons for a summary of some seasons, taken up from the state that the season before left."""
+    if before is None:
+        return recent_form(summary, entity, past, carry_over=True, split=split)
+    earlier = before.select(entity, *RACE_ORDER, *_measures(past)).withColumn("__earlier", F.lit(True))
+    rows = summary.withColumn("__earlier", F.lit(False)).unionByName(earlier, allowMissingColumns=True)
+    done = add_past(rows, [entity], RACE_ORDER, past, split)
+    return done.filter(~F.col("__earlier")).drop("__earlier")
+
+
+def form_state(
+    summary: DataFrame, entity: str, past: Sequence[Past], seasons: Sequence[int], before: DataFrame | None = None
+) -> DataFrame:
+    """What form after each of `seasons` (`as_of`) has to know: the last races of every entity up to then.
+
+    Entities that don't race in a season keep what they had, so one season's state is enough to go on from. Rows are
+    cut to the last few of each entity and season before they are spread over the seasons that follow.
+    """
+    columns = [entity, *RACE_ORDER, *_measures(past)]
+    rows = summary.select("season", *columns)
+    if before is not None:
+        rows = rows.unionByName(before.select(F.lit(None).cast(rows.schema["season"].dataType).alias("season"), *columns))
+    latest = [F.desc(c) for c in RACE_ORDER]
+    depth = max(p.rows for p in past)
+
+    def last_of(df: DataFrame, *by: str) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy(*by).orderBy(*latest))
+        return df.withColumn("__rank", rank).filter(F.col("__rank") <= depth).drop("__rank")
+
+    ends = F.array(*[F.lit(s).cast("int") for s in sorted(seasons)])
+    follows = F.filter(ends, lambda s: F.coalesce(s >= F.col("season"), F.lit(True)))
+    spread = last_of(rows, entity, "season").withColumn("as_of", F.explode(follows)).drop("season")
+    return last_of(spread, entity, "as_of").select("as_of", *columns)
+
+
+def _measures(past: Sequence[Past]) -> list[str]:
+    return list(dict.fromkeys(p.source for p in past))
 
 
 def driver_recent_form(summary: DataFrame, carry_over: bool = False, split: bool = False) -> DataFrame:

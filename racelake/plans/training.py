@@ -15,8 +15,10 @@ from racelake.functions import to_time
 from racelake.operators.columns import stamp
 from racelake.operators.encode import one_hot_stages
 from racelake.operators.metrics import binary_metrics, class_report, confusion_matrix
+from racelake.operators.relations import union_by_name
 from racelake.operators.split import time_split, time_split_by_date
 from racelake.plans.results import FEATURES, look_up_features
+from racelake.sources.tables import write_table
 
 # Target, text features, order of time, labels.
 TARGET = "finished_top_10"
@@ -107,3 +109,25 @@ def metric_rows(metrics: DataFrame, run: str) -> DataFrame:
 
 def log_metrics(metrics: DataFrame, run: str, path: str, fmt: str = "parquet") -> None:
     metric_rows(metrics, run).write.format(fmt).mode("append").save(path)
+
+
+def run_artefacts(trained: Trained, run: str) -> DataFrame:
+    """All that a run has to show as rows of `run`, `artefact` (metrics, report, confusion), `entry` (a class or
+    true label, null for the metrics), `metric` and `value`."""
+
+    def rows(table: DataFrame, artefact: str, entry: str | None) -> DataFrame:
+        named = [c for c in table.columns if c != entry]
+        numbers = table.select(
+            (F.lit(None) if entry is None else F.col(entry)).cast("string").alias("entry"),
+            *[F.col(f"`{c}`").cast("double").alias(c) for c in named],
+        )
+        return stamp(numbers.unpivot("entry", named, "metric", "value"), run=run, artefact=artefact)
+
+    parts = [rows(trained.metrics, "metrics", None), rows(trained.report, "report", trained.report.columns[0])]
+    parts.append(rows(trained.confusion, "confusion", trained.confusion.columns[0]))
+    return union_by_name(parts).select("run", "artefact", "entry", "metric", "value")
+
+
+def log_run(artefacts: DataFrame, path: str, fmt: str = "parquet") -> None:
+    """Keeps a run's artefacts in its own folder; a run that is logged again replaces what it had logged."""
+    write_table(artefacts, path, ["run"], fmt, touched_only=True)

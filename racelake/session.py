@@ -11,6 +11,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Tables in buckets of (race, driver) are joined on (season, race, driver) as they are.
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
     # Recording the call site of each column expression takes longer than planning it.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from racelake.operators.relations import union_by_name
@@ -34,13 +36,13 @@ def read_optional(
     try:
         return read_table(spark, path, fmt=fmt)
     except Exception as problem:
-        if not (skip_unreadable or _is_absent(problem)):
+        if not (skip_unreadable or is_absent(problem)):
             raise
         log.warning("going on without the table at %s: %s", path, str(problem).splitlines()[0])
         return spark.createDataFrame([], schema)
 
 
-def _is_absent(problem: Exception) -> bool:
+def is_absent(problem: Exception) -> bool:
     return isinstance(problem, AnalysisException) and problem.getCondition() in ABSENT
 
 
@@ -48,7 +50,7 @@ def read_required(spark: SparkSession, path: str, fmt: str = "parquet") -> DataF
     try:
         return read_table(spark, path, fmt=fmt)
     except AnalysisException as problem:
-        if not _is_absent(problem):
+        if not is_absent(problem):
             raise
         raise FileNotFoundError(f"no table at {path}") from problem
 
@@ -82,3 +84,56 @@ def write_table(
     if touched_only:
         writer = writer.option("partitionOverwriteMode", "dynamic")
     writer.save(path)
+
+
+def replace_partitions(
+    df: DataFrame,
+    path: str,
+    partition_by: Sequence[str],
+    fmt: str = "parquet",
+    within: Sequence | None = None,
+    write: Callable[[DataFrame], None] | None = None,
+) -> None:
+    """Replaces the partitions of the table at `path` whose first column is in `within`, or all of them, also those
+    that `df` has no rows for.
+
+    One job computes and writes all rows. They stay aside until it has succeeded and are then put in place of the old
+    partitions, so a run that fails or is killed before leaves the old table as it was. Partitions that got no file are
+    emptied after that. `write` may do the writing, replacing the partitions it has rows for.
+    """
+    spark = df.sparkSession
+    column = partition_by[0]
+    if fmt == "delta":
+        writer = df.write.format(fmt).mode("overwrite").partitionBy(*partition_by)
+        if within is not None:
+            values = ", ".join(repr(v) for v in within) or "null"
+            writer = writer.option("replaceWhere", f"{column} IN ({values})")
+        writer.save(path)
+        return
+    if within is not None:
+        df = df.filter(F.col(column).isin(list(within)))
+    before = stored_files(spark, path, fmt)
+    (write or (lambda rows: write_table(rows, path, partition_by, fmt, touched_only=True)))(df)
+    untouched = before & stored_files(spark, path, fmt)
+    folders = {file.rsplit("/", 1)[0] for file in untouched}
+    wanted = None if within is None else {f"{column}={v}" for v in within}
+    rest = df.drop(*partition_by).limit(0)
+    root = path.rstrip("/").split("/")[-1]
+    for folder in sorted(folders):
+        first = folder.rpartition(f"/{root}/")[2].split("/")[0]
+        if wanted is None or first in wanted:
+            spark.createDataFrame([], rest.schema).write.format(fmt).mode("overwrite").save(folder)
+
+
+def stored_files(spark: SparkSession, path: str, fmt: str = "parquet") -> set[str]:
+    """Paths of a table's files; none where there is no table."""
+    try:
+        return {unquote(file) for file in read_required(spark, path, fmt).inputFiles()}
+    except FileNotFoundError:
+        return set()
+
+
+def stored_values(spark: SparkSession, path: str, column: str, fmt: str = "parquet") -> list[str]:
+    """Values of a partition column, as the folders have them; none where there is no table. No file is opened."""
+    inside = f"/{column}="
+    return sorted({file.split(inside)[1].split("/")[0] for file in stored_files(spark, path, fmt) if inside in file})
