@@ -35,8 +35,22 @@ def prepare_training(dataset: DataFrame, order: Sequence[str] = TIME_ORDER) -> D
     return dated.select(*extra, *FEATURES, TARGET).dropna(subset=[TARGET])
 
 
-def random_forest(trees: int = 100, depth: int = 10, seed: int = 42) -> Estimator:
-    return RandomForestClassifier(labelCol=TARGET, featuresCol="features", numTrees=trees, maxDepth=depth, seed=seed)
+def random_forest(
+    trees: int = 100, depth: int = 10, seed: int = 42, memory_mb: int = 2048, features: str = "auto"
+) -> Estimator:
+    """A forest whose levels take few passes: one pass fits as many nodes as have histograms in `memory_mb` of a task
+    (one-hot keys make them wide), and rows remember their node instead of being led down every tree again, cut off
+    by checkpoints where `spark.checkpoint.dir` is set."""
+    return RandomForestClassifier(
+        labelCol=TARGET,
+        featuresCol="features",
+        numTrees=trees,
+        maxDepth=depth,
+        seed=seed,
+        maxMemoryInMB=memory_mb,
+        cacheNodeIds=True,
+        featureSubsetStrategy=features,
+    )
 
 
 def logistic_regression(iterations: int = 1000, regularisation: float = 0.0) -> Estimator:
