@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -95,6 +96,15 @@ def combine(keys: np.ndarray, counts: np.ndarray) -> Keys:
     return keys[first], np.add.reduceat(counts, first, axis=0)
 
 
+def indexed(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys, and the place of each key among them. Only the distinct ones are sorted."""
+    codes, found = pd.factorize(keys)
+    order = np.argsort(found)
+    place = np.empty(len(found), np.int64)
+    place[order] = np.arange(len(found))
+    return found[order], place[codes]
+
+
 def _planes(values: np.ndarray) -> bytes:
     """The bytes of the numbers, all first bytes first; sorted keys compress better so."""
     return np.ascontiguousarray(values.reshape(-1).view(np.uint8).reshape(-1, values.itemsize).T).tobytes()

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from racelake.llm.chunks import chunk_rows, combine, key_sums, pack, unpack, with_sums
+from racelake.llm.chunks import chunk_rows, indexed, key_sums, pack, unpack, with_sums
 from racelake.llm.words import mix, row_slices, words_of
 from racelake.sources.scratch import stable
 
@@ -96,29 +96,30 @@ def score_texts(
 
     def keys_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         words, pairs, first = _keys(_text_column(table))
-        counts = flags(table, first)
-        return combine(np.concatenate([words, pairs]), np.concatenate([counts, counts]))
+        keys, at = indexed(np.concatenate([words, pairs]))
+        columns = flags(table, first).T
+        counts = [np.bincount(at, np.concatenate([c, c]), len(keys)) for c in columns]
+        return keys, np.stack(counts, axis=1).astype(np.int64)
 
     def facts(keys: np.ndarray, sums: np.ndarray) -> np.ndarray:
         words = sums[(keys & _ONE) == 0]
         return np.array([(words[:, 0] > 0).sum(), *words.sum(axis=0)], np.int64)
 
     def resolve(table: pa.Table, sums: np.ndarray) -> pa.Table:
-        texts = _text_column(table)
-        words, pairs, first = _keys(texts)
-        keys = np.unique(np.concatenate([words, pairs]))
+        words, pairs, first = _keys(_text_column(table))
+        _, at = indexed(np.concatenate([words, pairs]))
         sums = sums.reshape(-1, 2).astype(np.int64)
-        one, two = sums[np.searchsorted(keys, words)], sums[np.searchsorted(keys, pairs)]
+        one, two = sums[at[: len(words)]], sums[at[len(words) :]]
         tuned = flags(table, first)[:, 1] > 0
         main = [x[:, 0] - x[:, 1] for x in (one, two)]
-        deleted = {"one": main[0][tuned], "two": main[1][tuned], "context": _contexts(main[0], first)[tuned]}
+        deleted = _histogram(main[0][tuned], main[1][tuned], _contexts(main[0], first)[tuned])
         rows = pa.table({"id": table.column("id"), "n_tokens": pa.array(np.diff(first))})
         return pa.table(
             {
                 "chunk": pa.array([0], pa.int64()),
                 "rows": pa.array([pack(rows)], pa.binary()),
                 "counts": pa.array([pack(pa.table({"one": one[:, 0], "two": two[:, 0]}))], pa.binary()),
-                "tuning": pa.array([pack(pa.table(deleted))], pa.binary()),
+                "tuning": pa.array([pack(deleted)], pa.binary()),
             }
         )
 
@@ -159,6 +160,17 @@ def score_texts(
     return resolved.select("rows", "counts").mapInArrow(score, shape)
 
 
+def _histogram(one: np.ndarray, two: np.ndarray, context: np.ndarray) -> pa.Table:
+    """Each different (one, two, context) with how often (`n`) it is there: steps of the expectation need no more."""
+    order = np.lexsort((one, two, context))
+    columns = {"one": one[order], "two": two[order], "context": context[order]}
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([c[1:] != c[:-1] for c in columns.values()], axis=0)
+    first = np.flatnonzero(new)
+    counts = np.diff(np.append(first, len(order)))
+    return pa.table({**{name: c[first] for name, c in columns.items()}, "n": counts})
+
+
 def _facts(replies: DataFrame) -> tuple[int, int, int]:
     """Distinct words in training, tokens in training, tokens in the deleted part: one row for each bucket."""
 
@@ -193,10 +205,10 @@ def learn_weights(resolved: DataFrame, vocabulary: int, total: int, iterations:
             sums = np.zeros((CLASSES, 3))
             for batch in batches:
                 for payload in batch.column(0).to_pylist():
-                    one, two, context = (unpack(payload).column(c).to_numpy() for c in ("one", "two", "context"))
+                    one, two, context, n = (c.to_numpy() for c in unpack(payload).columns)
                     kind = context_class(context)
                     shares = _estimates(one, two, context, vocabulary, total) * now[kind]
-                    shares /= np.maximum(shares.sum(axis=1, keepdims=True), 1e-300)
+                    shares *= (n / np.maximum(shares.sum(axis=1), 1e-300))[:, None]
                     for i in range(3):
                         sums[:, i] += np.bincount(kind, shares[:, i], CLASSES)
             used = np.flatnonzero(sums.sum(axis=1))
