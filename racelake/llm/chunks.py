@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -98,11 +97,12 @@ def combine(keys: np.ndarray, counts: np.ndarray) -> Keys:
 
 def indexed(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct keys, and the place of each key among them. Only the distinct ones are sorted."""
-    codes, found = pd.factorize(keys)
+    coded = pa.array(keys).dictionary_encode()
+    found = coded.dictionary.to_numpy()
     order = np.argsort(found)
-    place = np.empty(len(found), np.int64)
-    place[order] = np.arange(len(found))
-    return found[order], place[codes]
+    place = np.empty(len(found), np.int32)
+    place[order] = np.arange(len(found), dtype=np.int32)
+    return found[order], place[coded.indices.to_numpy()]
 
 
 def _planes(values: np.ndarray) -> bytes:
