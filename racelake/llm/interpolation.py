@@ -24,6 +24,8 @@ _END, _START = np.uint64(0x9D5C_11C8_4E1A_7B02), np.uint64(0x51E3_6A0F_B2C9_4D77
 _FACTOR = np.uint64(0x9E37_79B9_7F4A_7C15)
 _ONE = np.uint64(1)
 CLASSES = 65
+#: Text that is hashed at once; several numbers are held for each of its bytes meanwhile.
+SLICE_BYTES = 1 << 18
 RESOLVED = "chunk bigint, rows binary, counts binary, tuning binary"
 
 
@@ -35,7 +37,7 @@ def context_class(count: np.ndarray) -> np.ndarray:
 def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each token, rows one after the other, and each row's first token; every row ends with the end."""
     hashes, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for start, end in row_slices(texts):
+    for start, end in row_slices(texts, SLICE_BYTES):
         words = words_of(texts.slice(start, end - start))
         hashes.append(words.hashes(lower=True))
         sizes.append(words.per_row())
@@ -107,18 +109,22 @@ def score_texts(
 
     def resolve(table: pa.Table, sums: np.ndarray) -> pa.Table:
         words, pairs, first = _keys(_text_column(table))
-        _, at = indexed(np.concatenate([words, pairs]))
-        sums = sums.reshape(-1, 2).astype(np.int64)
-        one, two = sums[at[: len(words)]], sums[at[len(words) :]]
-        tuned = flags(table, first)[:, 1] > 0
-        main = [x[:, 0] - x[:, 1] for x in (one, two)]
-        deleted = _histogram(main[0][tuned], main[1][tuned], _contexts(main[0], first)[tuned])
+        n = len(words)
+        keys = np.concatenate([words, pairs])
+        del words, pairs
+        at = indexed(keys)[1]
+        del keys
+        learned, left_out = (np.ascontiguousarray(c) for c in sums.reshape(-1, 2).astype(np.int64).T)
+        one, two = learned[at[:n]], learned[at[n:]]
+        tuned = np.flatnonzero(flags(table, first)[:, 1])
+        main = one - left_out[at[:n]]
+        deleted = _histogram(main[tuned], (two - left_out[at[n:]])[tuned], _contexts(main, first)[tuned])
         rows = pa.table({"id": table.column("id"), "n_tokens": pa.array(np.diff(first))})
         return pa.table(
             {
                 "chunk": pa.array([0], pa.int64()),
                 "rows": pa.array([pack(rows)], pa.binary()),
-                "counts": pa.array([pack(pa.table({"one": one[:, 0], "two": two[:, 0]}))], pa.binary()),
+                "counts": pa.array([pack(pa.table({"one": one, "two": two}))], pa.binary()),
                 "tuning": pa.array([pack(deleted)], pa.binary()),
             }
         )
