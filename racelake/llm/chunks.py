@@ -7,6 +7,8 @@ A key that is in a third of all rows sends one number for each chunk, so no task
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -40,6 +42,17 @@ def unpack(payload: bytes) -> pa.Table:
         return stream.read_all().combine_chunks()
 
 
+_LIBC = ctypes.CDLL(ctypes.util.find_library("c"))
+
+
+def give_back() -> None:
+    """Hands freed memory back to the system. Workers are used again and again, and what their allocators keep between
+    tasks would count against the executor for good."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
 def chunk_rows(docs: DataFrame, text: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """`docs` as stored chunks of about `chunk_bytes` of text; a longer text is a chunk of its own.
 
@@ -140,6 +153,7 @@ def key_sums(
         for batch in batches:
             for chunk, payload in zip(*(batch.column(c).to_pylist() for c in ("chunk", "payload")), strict=True):
                 keys, counts = keys_of(unpack(payload))
+                give_back()
                 edges = bucket_edges(keys, buckets)
                 used = np.flatnonzero(np.diff(edges))
                 yield pa.record_batch(
@@ -167,6 +181,8 @@ def key_sums(
         if facts:
             chunk.append(-1)
             answers.append(facts(distinct, sums).tobytes())
+        del asked, keys, distinct, sums, where
+        give_back()
         bucket = table.column("bucket")[0].as_py()
         return pa.table(
             {
@@ -188,7 +204,9 @@ def with_sums(
     def fill(left: pa.Table, right: pa.Table) -> pa.Table:
         parts = sorted(zip(right.column("bucket").to_pylist(), right.column("counts").to_pylist(), strict=True))
         sums = np.concatenate([_from_planes(c, kind) for _, c in parts] or [np.zeros(0, kind)])
-        return result(unpack(left.column("payload")[0].as_py()), sums)
+        made = result(unpack(left.column("payload")[0].as_py()), sums)
+        give_back()
+        return made
 
     answered = replies.filter(F.col("chunk") >= 0)
     return chunks.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(fill, schema)
