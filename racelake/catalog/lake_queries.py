@@ -16,15 +16,17 @@ from racelake.catalog.queries import (
     rounded,
     rounded_sql,
     silver_race_laps,
+    stored_laps,
 )
 from racelake.operators.metrics import binary_metrics, class_report, confusion_matrix
-from racelake.plans import results, training
+from racelake.operators.relations import union_by_position
+from racelake.plans import datasets, laps, results, training
 from racelake.plans.lake import Lake, run_season_results, to_gold
-from racelake.sources import documents
+from racelake.sources import calendar, documents
 from racelake.sources.lookup import read_lookup, write_lookup
 from racelake.sources.ordered_tables import write_in_order
 from racelake.sources.scratch import new_path, stable
-from racelake.sources.tables import read_table
+from racelake.sources.tables import read_required, read_table, write_table
 
 # A season whose results come again with other grid places, and without a third of them.
 _AGAIN = 1995
@@ -157,3 +159,107 @@ def laps_in_time_order(spark, sf):
     write_in_order(laps, path, _TIME, "time_order", ["season"])
     month = (F.col("lapstartdate") >= F.lit("1995-03-01").cast("date")) & (F.col("lapstartdate") < F.lit("1995-04-01").cast("date"))
     return read_table(spark, path).filter(month | (F.col("season") != 1995)).select(*laps.columns, "time_order")
+
+
+# Rows that are doubled, conflicting or without a time -------------------------------------------------------------
+
+view("untimed_laps", "race_weather", "race_results")(
+    "SELECT * REPLACE (CASE WHEN lap_number % 9 = 0 OR driver = 'S7' THEN NULL ELSE lap_time_ms END AS lap_time_ms) "
+    f"FROM ({VIEWS['silver_race_laps'][1]}) s"
+)
+
+
+@query(
+    "lap_rows_untimed",
+    with_views("SELECT * FROM lap_rows WHERE target_lap_time_ms IS NOT NULL", "lap_rows", instead={"silver_race_laps": "untimed_laps"}),
+)
+def lap_rows_untimed(spark, sf):
+    """Laps without a time are no targets, but still the lap before the next one."""
+    untimed = F.when((F.col("lap_number") % 9 != 0) & (F.col("driver") != "S7"), F.col("lap_time_ms"))
+    return datasets.lap_dataset(stable(silver_race_laps(spark, sf).withColumn("lap_time_ms", untimed)))
+
+
+_WEATHER = ", ".join(f"w.{c}" for c in laps.WEATHER)
+_DOUBLED = "(SELECT * FROM race_weather UNION ALL SELECT * REPLACE (airtemp + 1 AS airtemp) FROM race_weather WHERE lap_number % 4 = 1)"
+
+
+def _doubled_weather(rows):
+    weather = views.race_weather(rows)
+    other = weather.filter("lap_number % 4 = 1").withColumn("airtemp", F.col("airtemp") + 1)
+    return union_by_position([weather, other])
+
+
+@query(
+    "laps_with_doubled_weather",
+    f"""SELECT l.*, {_WEATHER} FROM race_laps l LEFT JOIN {_DOUBLED} w
+     ON l.season = w.season AND l.race = w.race AND l.driver = w.driver AND l.lap_number = w.lap_number""",
+    "race_weather",
+)
+def laps_with_doubled_weather(spark, sf):
+    """A lap with two weather rows is there twice."""
+    rows = stored_laps(spark, sf)
+    return laps.with_weather(rows, _doubled_weather(rows))
+
+
+@query(
+    "laps_with_unique_weather",
+    f"""SELECT l.*, {_WEATHER} FROM race_laps l LEFT JOIN race_weather w
+     ON l.season = w.season AND l.race = w.race AND l.driver = w.driver AND l.lap_number = w.lap_number""",
+    "race_weather",
+)
+def laps_with_unique_weather(spark, sf):
+    """Of two weather rows the one that sorts first stays: here the cooler, as they differ in nothing else."""
+    rows = stored_laps(spark, sf)
+    return laps.with_weather(rows, _doubled_weather(rows), unique=True)
+
+
+@query(
+    "laps_with_conflicting_results",
+    """
+SELECT l.* EXCLUDE (team_name), CASE WHEN r.position % 2 = 0 THEN 0 ELSE r.gridposition END AS grid_position,
+       r.position AS finish_position, r.status AS race_status, r.teamname AS team_name
+FROM race_laps l LEFT JOIN race_results r ON l.season = r.season AND l.race = r.race AND l.driver = r.abbreviation""",
+    "race_results",
+)
+def laps_with_conflicting_results(spark, sf):
+    """Of two result rows that disagree, the one with the lower grid place counts, and a known place before none."""
+    rows = stored_laps(spark, sf)
+    entries = views.race_results(rows)
+    other = entries.filter("position % 2 = 0").withColumn("gridposition", F.lit(0))
+    worse = entries.filter("position % 2 = 1 and gridposition is not null").withColumn("gridposition", F.col("gridposition") + 1)
+    return laps.with_results(rows, union_by_position([entries, other, worse]))
+
+
+@query("calendar_lookup_document", ORACLES["calendar_lookup"])
+def calendar_lookup_document(spark, sf):
+    """The calendar as one document over many lines."""
+    rows = views.season_results(spark, sf)
+    listed = rows.filter("round % 3 <> 0 and season <> 1995").select("season", "round").distinct()
+    # A calendar is a list of seasons, so its one document is small.
+    names = F.transform(F.array_sort(F.collect_list("round")), lambda m: F.concat(F.lit("Race "), m.cast("string")))
+    seasons = listed.groupBy("season").agg(names.alias("races"))
+    entries = F.map_from_entries(F.collect_list(F.struct(F.col("season").cast("string"), "races")))
+    text = seasons.agg(F.to_json(entries, {"pretty": "true"}).alias("value"))
+    path = new_path(spark, "calendar")
+    text.coalesce(1).write.text(path)
+    races = calendar.read_calendar(spark, path)
+    return calendar.in_calendar(rows.select("season", F.col("race_name").alias("race"), "result_id", "status"), races)
+
+
+@query(
+    "required_table",
+    "SELECT 'stored' AS name, count(*) AS n, true AS found FROM orders UNION ALL SELECT 'absent', NULL, false",
+)
+def required_table(spark, sf):
+    """A required table that is there is read; one that isn't is an error that says so."""
+    path = new_path(spark, "required")
+    write_table(views.table(spark, sf, "orders"), f"{path}/stored")
+    parts = []
+    for name in ("stored", "absent"):
+        try:
+            counted = read_required(spark, f"{path}/{name}").agg(F.count(F.lit(1)).alias("n"))
+            parts.append(counted.select(F.lit(name).alias("name"), "n", F.lit(True).alias("found")))
+        except FileNotFoundError:
+            nothing = spark.range(1).select(F.lit(name).alias("name"), F.lit(None).cast("long").alias("n"), F.lit(False).alias("found"))
+            parts.append(nothing)
+    return union_by_position(parts)

@@ -97,9 +97,13 @@ class Lake:
         return df if self.seasons is None else df.filter(F.col("season").isin(list(self.seasons)))
 
 
-def write_raw_session(lake: Lake, table: str, session: DataFrame) -> None:
-    """A session's table (with metadata) beside the others; the session alone is replaced."""
-    keyed = laps.storable(session).withColumn("race", laps.slug(F.col("grand_prix")))
+def write_raw_session(lake: Lake, table: str, session: DataFrame, identity: str = "grand_prix") -> None:
+    """A session's table (with metadata) beside the others; the session alone is replaced.
+
+    `identity` names the column that tells the races of a season apart. Where a country has two of them, the grand prix
+    (a country) doesn't: take the event's name then, here and for the calendar (`build_calendar(race="event_name")`).
+    """
+    keyed = laps.storable(session).withColumn("race", laps.slug(F.col(identity)))
     lake.write_sessions(keyed, "raw", table, [*SESSION, "session_type"])
 
 

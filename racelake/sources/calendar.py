@@ -39,12 +39,16 @@ def build_calendar(
     country: str = "country",
     order: Sequence[str] = ("event_order",),
     split: bool = False,
+    race: str | None = None,
 ) -> DataFrame:
-    """Rows (season, race_order, race) of the race weekends among `events`; an event without a name is none."""
+    """Rows (season, race_order, race) of the race weekends among `events`; an event without a name is none.
+
+    A race is called by its country, or by the column `race`; the event's name also tells two races in one country apart.
+    """
     weekends = events.filter(F.coalesce(F.col(event_name).contains(RACE_WEEKEND), F.lit(False)))
     numbered = add_row_number(weekends, [season], list(order), "__n", split)
     return numbered.select(
-        F.col(season).alias("season"), (F.col("__n") - 1).cast("int").alias("race_order"), F.col(country).alias("race")
+        F.col(season).alias("season"), (F.col("__n") - 1).cast("int").alias("race_order"), F.col(race or country).alias("race")
     )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from racelake.plans import datasets, laps, results, summaries
 from racelake.plans.lake import Lake, run_laps, run_season_results, to_silver, write_raw_session
 from racelake.schemas import RAW_LAPS
+from racelake.sources.calendar import build_calendar
 from racelake.sources.documents import flatten_results, read_documents
 
 
@@ -105,6 +106,21 @@ def test_calendar_limits_sessions(spark, tmp_path):
     assert [r.race for r in small.read("silver", "laps").select("race").distinct().collect()] == ["great_britain"]
 
 
+def test_two_races_in_one_country(spark, tmp_path):
+    built = Lake(spark, str(tmp_path))
+    for event, n in (("Emilia Romagna Grand Prix", 3), ("Italian Grand Prix", 5)):
+        for name, df in session(spark, 2022, "Italy", n=n).items():
+            write_raw_session(built, name, df.withColumn("event_name", F.lit(event)), identity="event_name")
+    events = spark.createDataFrame(
+        [(2022, 1, "Emilia Romagna Grand Prix", "Italy"), (2022, 2, "Italian Grand Prix", "Italy"), (2022, 0, "Test", "Italy")],
+        "season int, event_order int, event_name string, country string",
+    )
+    run_laps(built, build_calendar(events, race="event_name"))
+    stored = built.read("gold", "lap_ml_table").select("race").distinct()
+    assert rows(stored) == [("emilia_romagna_grand_prix",), ("italian_grand_prix",)]
+    assert rows(built.read("silver", "laps").groupBy("race").count()) == [(4, "emilia_romagna_grand_prix"), (8, "italian_grand_prix")]
+
+
 def test_absent_laps_are_an_error(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         to_silver(Lake(spark, str(tmp_path)))
