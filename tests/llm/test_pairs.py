@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -137,6 +138,42 @@ def test_beams_are_widened_until_both_ends_are_found(spark):
     assert all(dict(got)[k] == dict(got)[900 + k] for k in range(600))
 
 
+@pytest.mark.parametrize("pairs", [0, 6, 700])
+def test_graphs_answer_small_and_link_poor_tables(spark, monkeypatch, pairs):
+    """Nothing but a bounded audit is searched exactly, and what the graphs found is the result."""
+    rng = np.random.default_rng(5)
+    rows = [*rng.normal(size=(1300, 32))]
+    rows += [rows[k] + 0.3 * rng.normal(size=32) for k in range(pairs)]
+    asked, query = [], neighbours._query
+
+    def watched(blocks, graphs, shards, tasks, threshold, beam):
+        asked.append((beam, sum(neighbours._table(b.nodes).num_rows for b in blocks.select("nodes").collect())))
+        return query(blocks, graphs, shards, tasks, threshold, beam)
+
+    monkeypatch.setattr(neighbours, "_query", watched)
+    table = vectors(spark, [(k, [float(x) for x in v]) for k, v in enumerate(rows)])
+    got = collected(neighbours.near_duplicate_vectors(table, audit_rows=60, audit_linked=60), "vec_id", "n_links", "recall")
+    matrix = np.array(rows)
+    matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
+    near = matrix @ matrix.T >= 0.9
+    np.fill_diagonal(near, False)
+    assert sum(n for _, n, _ in got) >= 0.99 * near.sum()
+    assert all(n <= near[k].sum() and r >= 0.99 for k, n, r in got)
+    assert [n for beam, n in asked if beam] == [len(rows) + 60] * (len(asked) // 2)
+    assert all(n <= 60 + 60 + 2 * 60 for beam, n in asked if not beam)
+
+
+def test_probes_lie_within_the_threshold():
+    probe = neighbours._turned(0.9)
+    rng = np.random.default_rng(1)
+    rows = [rng.normal(size=24) for _ in range(200)]
+    frame = pd.DataFrame({"key": [f"{7 * k:016x}" for k in range(200)], "vector": [v.tobytes() for v in rows], "node": range(200)})
+    (made,) = probe(iter([frame]))
+    turned = np.array([np.frombuffer(v) for v in made["vector"]])
+    cosine = np.einsum("nd,nd->n", turned, np.array(rows)) / np.linalg.norm(turned, axis=1) / np.linalg.norm(rows, axis=1)
+    assert (cosine >= 0.9).all() and cosine.min() < 0.92 and made["node"].tolist() == [-1 - k for k in range(200)]
+
+
 def test_vectors_of_an_empty_table(spark):
     assert neighbours.near_duplicate_vectors(vectors(spark, [])).count() == 0
 
