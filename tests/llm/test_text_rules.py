@@ -93,6 +93,23 @@ def test_line_runs_are_compacted(spark):
     index.close()
 
 
+def test_default_batches_reach_a_compaction(spark):
+    docs = documents(spark)
+    got, index = lines.index_lines(docs, "doc_id", "text", 40, 5, None, 4, 1 << 28)
+    assert [(level, merged) for level, _, merged in index.log] == [(0, 0)] * 4 + [(1, 4), (0, 0)]
+    assert index.log[4][1] <= sum(rows for _, rows, _ in index.log[:4])
+    assert sorted(collected(got, "doc_id", "n_lines", "n_dropped", "text"), key=repr) == lines_by_hand(collected(docs, "doc_id", "text"))
+
+
+def test_only_the_first_run_names_a_keeper(spark):
+    index = lines.LineIndex(spark, fanout=9)
+    for ids in ((9, 8), (7, 6), (5,)):
+        index.add(lines.line_counts(documents(spark, [(i, "l" * 50, "en", "s") for i in ids]), "doc_id", "text", 40))
+    assert [collected(run, "n", "keeper") for run in index.runs()] == [[(2, 9)], [(2, None)], [(1, None)]]
+    assert collected(index.merged(), "n", "keeper") == [(5, 9)]
+    index.close()
+
+
 def repeats_by_hand(rows, size):
     starts = Counter(tuple(w[i : i + size]) for _, t in rows for w in [words(t)] for i in range(len(w) - size + 1))
     out = []
