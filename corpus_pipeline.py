@@ -55,6 +55,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that all stages kept, as often as the mix takes them, with their pieces.
+
+    Null, empty and letterless texts go at the first stage. Rows that repeat an id and a text pass the stages alike. Long
+    texts are processed whole. Other columns of documents pass through; an empty table gives an empty one.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         last = name == STAGES[-1][0]

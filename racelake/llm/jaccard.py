@@ -221,7 +221,7 @@ def jaccard_groups(
     taken as they are, shingles compared by 64-bit hashes. A text with fewer words than a shingle is one shingle; a
     null text or one without words links with nothing, and its class is its own id. A row with a null id links with
     nothing either, and has no class and `kept` true. Rows with one id are one document: if their texts differ, all
-    of them are compared. Copies are not expanded into pairs. Other columns are not looked at; an empty table gives
+    of them are compared. Copies are not expanded into pairs. A long text gives all its shingles, as one row. Other columns are not looked at; an empty table gives
     an empty one.
     """
     kind = docs.schema[id_col].dataType.simpleString()

@@ -87,7 +87,8 @@ def plan_mix(
     passed over. Documents are taken whole. Ties and reruns are settled by the hash and the id.
 
     A document is all rows with one id, source and text: they are taken alike and count together. Null or empty
-    texts have size 0 and are never taken; an empty table gives an empty plan. Other columns are not looked at.
+    texts have size 0 and are never taken; a long text counts all its words, and only its number and hash travel; an empty
+    table gives an empty plan. Other columns are not looked at.
     The number of sources is taken to be that of a configuration: their totals pass through the driver.
     """
     spark = docs.sparkSession

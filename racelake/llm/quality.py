@@ -123,8 +123,8 @@ def apply_rules(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "tex
     """Every row of `docs` with its measures, `base_failed`, the names of the `broken` rules, and `kept`.
 
     Base: fewer than 20 words, or over 30 % of the words in repeated windows of eight. Rows are judged alone, so
-    repeated rows and ties are judged alike; a null or empty text has no words and fails; an empty table gives an
-    empty one. Columns of `docs` named like a result are replaced by it. Nothing is shuffled.
+    repeated rows and ties are judged alike; a null or empty text has no words and fails; a long text is judged whole,
+    within its row; an empty table gives an empty one. Columns of `docs` named like a result are replaced by it. Nothing is shuffled.
     """
     results = (
         "n_words word_chars n_symbols n_lines n_dup_lines n_list_lines n_stop_words n_shouted n_repeat_words "
