@@ -1,10 +1,11 @@
 """Jaccard join on word shingles: an LSH forest over MinHash signatures, and exact verification.
 
-Texts with one set of shingles are a class and travel as one. Each class stands in several tries, one for each
-tree, by a prefix of its signature values; classes at one trie node are compared by their whole signatures. The
-prefix is as long as lets pairs at the threshold meet with the target recall by calculation: 4 values for 0.8 and
-99.9 %, so this is banding with 16 bands of 4 values. Recall is not measured on the data. Loosely connected classes
-are then compared exactly, by their sets.
+Texts with one set of shingles are a class and travel as one. Each class stands in every tree of the forest by a row
+of its signature's values, and classes that share a prefix of it are at one node of that tree. Nodes at the full depth
+are looked at first: classes there whose whole signatures are alike form loose groups, which are compared exactly, by
+their sets. The links found tell what share the prefix finds (`forest_recall`); while that is below the target, the
+prefix is shortened, only nodes with classes of different groups are looked at again, and only groups that grew are
+compared anew.
 """
 
 from __future__ import annotations
@@ -22,7 +23,9 @@ from racelake.llm.words import mix, row_slices, windows, words_of
 from racelake.sources.scratch import stable
 
 TREES, DEPTH = 16, 8
-SHINGLE, THRESHOLD, TARGET_RECALL = 5, 0.8, 0.999
+SHINGLE, THRESHOLD, TARGET_RECALL = 5, 0.8, 0.9995
+#: Recall is measured in bands of similarity, on so many links of a class in a unit of work.
+BANDS, AUDITED = 3, 16
 _SEEDS = mix(np.arange(1, TREES * DEPTH + 1, dtype=np.uint64)) | np.uint64(1)
 SKETCH = "row bigint, shingles int, s1 bigint, s2 bigint, signature binary"
 
@@ -95,52 +98,96 @@ def meeting_chance(similarity: float, prefix: int, trees: int = TREES) -> float:
     return 1.0 - (1.0 - similarity**prefix) ** trees
 
 
-def longest_prefix(threshold: float, target: float) -> int:
-    """The full depth, shortened until a pair just at the threshold meets with the target recall."""
-    prefix = DEPTH
-    while prefix > 1 and meeting_chance(threshold, prefix) < target:
-        prefix -= 1
-    return prefix
+def band_edges(threshold: float) -> np.ndarray:
+    """Lower ends of the bands; the last band is twice as wide."""
+    return threshold + (1.0 - threshold) * np.arange(BANDS) / (BANDS + 1)
 
 
-def _nodes(prefix: int):
+def forest_recall(audit: np.ndarray, depth: int, threshold: float, target: float) -> float:
+    """The share of links that meet at a node of `depth`, in the band where it is smallest.
+
+    `audit[band, depth - 1]` counts verified links that meet in no, one, two and any trees. Links that met nowhere are
+    known only where others held their group together, so what is missing is taken from the links met once and twice
+    (Chao's estimate for capture and recapture), if that is more. A band with too few links to tell `target` from 1
+    has the chance that is calculated for its lower end.
+    """
+    shares = []
+    for lower, (none, once, twice, found) in zip(band_edges(threshold), audit[:, depth - 1].tolist(), strict=True):
+        if (none + found) * (1.0 - target) < 1.0:
+            shares.append(meeting_chance(lower, depth))
+        else:
+            missing = max(none, (TREES - 1) / TREES * once * (once - 1) / (2 * (twice + 1)))
+            shares.append(found / (found + missing))
+    return min(shares)
+
+
+def next_depth(audit: np.ndarray, depth: int, threshold: float, target: float) -> int | None:
+    """None if `depth` reaches the target, else the longest shorter prefix that is expected to. Links that a long
+    prefix found make shorter ones look better than they are, so the step may be too small, never too large."""
+    if depth == 1 or forest_recall(audit, depth, threshold, target) >= target:
+        return None
+    shorter = range(depth - 1, 0, -1)
+    return next((d for d in shorter if forest_recall(audit, d, threshold, target) >= target), 1)
+
+
+def _nodes(depth: int):
+    """`group, rep, part` for each tree: the node at `depth` that a class is at."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
             raw = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(n, TREES, DEPTH)
             keys = np.tile(np.arange(TREES, dtype=np.uint64), (n, 1))
-            for k in range(prefix):
+            for k in range(depth):
                 keys = mix(keys * _SEEDS[1] + raw[:, :, k] + np.uint64(1))
-            ids = batch.column(0).take(pa.array(np.repeat(np.arange(n), TREES)))
-            yield pa.record_batch([pa.array(keys.reshape(-1).view(np.int64)), ids], names=["group", "rep"])
+            times = pa.array(np.repeat(np.arange(n), TREES))
+            ids, parts = batch.column(0).take(times), batch.column(2).take(times)
+            yield pa.record_batch([pa.array(keys.reshape(-1).view(np.int64)), ids, parts], names=["group", "rep", "part"])
 
     return run
 
 
 def _alike(least: float):
-    """Classes of one trie node whose signatures agree in at least that share, as edges to a root."""
+    """Groups that meet at one node in classes whose signatures agree in at least that share, as edges to a root."""
 
     def work(unit: pa.Table) -> pa.RecordBatch | None:
-        ids, n = unit.column("rep").combine_chunks(), unit.num_rows
-        if n < 2:
-            return None
+        unit = unit.sort_by("part").combine_chunks()
+        n, part = unit.num_rows, unit.column("part").to_numpy()
+        begin, end = np.searchsorted(part, part), np.searchsorted(part, part, side="right")
         values = np.frombuffer(b"".join(unit.column("signature").to_pylist()), np.uint16).reshape(n, -1)
         left, right = [], []
-        for k in range(n - 1):
-            near = np.flatnonzero((values[k + 1 :] == values[k]).mean(axis=1) >= least) + k + 1
-            left.append(np.full(len(near), k))
-            right.append(near)
+        for k in range(n):
+            if end[k] == n:
+                break
+            near = np.flatnonzero((values[end[k] :] == values[k]).mean(axis=1) >= least) + end[k]
+            left.append(np.full(len(near), begin[k]))
+            right.append(begin[near])
+        if not left:
+            return None
         root = roots(n, (np.concatenate(left), np.concatenate(right)))
         joined = np.flatnonzero(root != np.arange(n))
         if not len(joined):
             return None
+        ids = unit.column("component").combine_chunks()
         return pa.record_batch([ids.take(pa.array(joined)), ids.take(pa.array(root[joined]))], names=["a", "b"])
 
     return work
 
 
+def _audit(values: np.ndarray, left: np.ndarray, right: np.ndarray, similarity: np.ndarray, threshold: float) -> np.ndarray:
+    """Links by band and depth: how many meet in no, one, two and any trees."""
+    counts = np.zeros((BANDS, DEPTH, 4), np.int64)
+    if len(left):
+        same = (values[left] == values[right]).reshape(-1, TREES, DEPTH)
+        trees = np.logical_and.accumulate(same, axis=2).sum(axis=1)
+        band = np.searchsorted(band_edges(threshold), similarity + 1e-9, side="right") - 1
+        np.add.at(counts, band.clip(0), np.stack([trees == 0, trees == 1, trees == 2, trees > 0], axis=2).astype(np.int64))
+    return counts
+
+
 def _exact(threshold: float):
-    """Links inside a unit: edges to a root (`b` set), and for each class the texts it is linked with (`links`)."""
+    """Links inside a unit: for each class an edge to a root and the texts it is linked with (`links`). The first row
+    carries the unit's `audit`."""
 
     def work(unit: pa.Table) -> pa.RecordBatch | None:
         # Rows with one id and one text come once each; one of them stands for the class.
@@ -154,7 +201,7 @@ def _exact(threshold: float):
         values, codes = np.unique(np.concatenate(sets), return_inverse=True)
         starts = np.cumsum(sizes) - sizes
         flag = np.zeros(len(values), bool)
-        links, missed, left, right = np.zeros(n, np.int64), np.zeros(n), [], []
+        links, left, right, looked = np.zeros(n, np.int64), [], [], []
         for k in range(n - 1):
             mine = codes[starts[k] : starts[k] + sizes[k]]
             flag[mine] = True
@@ -169,17 +216,20 @@ def _exact(threshold: float):
             links[near + k + 1] += texts[k]
             left.append(np.full(len(near), k))
             right.append(near + k + 1)
-            missed[k] = (shared[near] / union[near]).sum() if len(near) else 0.0
+            some = near[:AUDITED]
+            looked.append((np.full(len(some), k), some + k + 1, shared[some] / union[some]))
         pairs = (np.concatenate(left or [np.zeros(0, int)]), np.concatenate(right or [np.zeros(0, int)]))
         if not len(pairs[0]):
             return None
         root = roots(n, pairs)
         used = np.flatnonzero(links)
         ids = unit.column("rep").combine_chunks()
+        values = np.frombuffer(b"".join(unit.column("signature").to_pylist()), np.uint16).reshape(n, -1)
+        audit = _audit(values, *map(np.concatenate, zip(*looked, strict=True)), threshold).reshape(-1).tolist()
         return pa.record_batch(
             [ids.take(pa.array(used)), ids.take(pa.array(root[used])), pa.array(links[used]),
-             pa.array(np.bincount(pairs[0], minlength=n)[used]), pa.array(missed[used])],
-            names=["a", "b", "links", "pairs", "similarity"],
+             pa.array([audit, *[None] * (len(used) - 1)], pa.list_(pa.int64()))],
+            names=["a", "b", "links", "audit"],
         )
 
     return work
@@ -195,7 +245,7 @@ def _set_rows(size: int):
                 at += len(sizes)
                 ends = np.cumsum(sizes)
                 sets = [hashes[e - s : e].tobytes() for e, s in zip(ends, sizes, strict=True)]
-                names = ("rep", "group", "size", "texts", "s1")
+                names = ("rep", "group", "size", "texts", "s1", "signature")
                 columns = {n: part.column(part.schema.get_field_index(n)) for n in names}
                 made = pa.record_batch({**columns, "shingles": pa.array(sets, pa.binary())})
                 # A row of the same id with another text belongs to another class.
@@ -223,6 +273,9 @@ def jaccard_groups(
     nothing either, and has no class and `kept` true. Rows with one id are one document: if their texts differ, all
     of them are compared. Copies are not expanded into pairs. A long text gives all its shingles, as one row. Other columns are not looked at; an empty table gives
     an empty one.
+
+    The forest's prefixes are shortened until recall, measured on the links found, is `target_recall` in every band of
+    similarity. A link outside loose groups may be missed with a chance of at most about 1 - `target_recall`.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
@@ -235,17 +288,7 @@ def jaccard_groups(
         )
     )
 
-    prefix = longest_prefix(threshold, target_recall)
-    while True:
-        links = _verified(rows, classes, prefix, shingle, threshold, node_block, set_block, kind)
-        found = links.agg(F.sum("pairs"), F.sum("similarity")).first()
-        if not found[0] or prefix == 1:
-            break
-        # Links are more alike than the threshold, on average by this much; that is what the prefix has to find.
-        if meeting_chance(max(threshold, found[1] / found[0]), prefix) >= target_recall:
-            break
-        prefix -= 1
-
+    links, _ = forest_links(rows, classes, shingle, threshold, target_recall, node_block, set_block)
     joined = connected_components(links.select("a", "b"))
     counted = links.groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "node")
     named = joined.join(counted, "node", "left").withColumnRenamed("node", "rep")
@@ -263,27 +306,63 @@ def jaccard_groups(
     )
 
 
-def _verified(
-    rows: DataFrame, classes: DataFrame, prefix: int, shingle: int, threshold: float, node_block: int, set_block: int, kind: str
-) -> DataFrame:
-    """Verified links of classes that meet at a trie node of depth `prefix`: `a, b, links, pairs, similarity`."""
-    ids = f"a {kind}, b {kind}"
-    placed = classes.select("rep", "signature").mapInArrow(_nodes(prefix), f"group bigint, rep {kind}")
-    nodes = stable(placed)
-    shared = nodes.groupBy("group").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    members = nodes.join(shared, "group").join(classes.select("rep", "signature"), "rep")
+def forest_links(
+    rows: DataFrame,
+    classes: DataFrame,
+    shingle: int = SHINGLE,
+    threshold: float = THRESHOLD,
+    target_recall: float = TARGET_RECALL,
+    node_block: int = 512,
+    set_block: int = 256,
+) -> tuple[DataFrame, list[tuple[int, float]]]:
+    """Verified links `a, b, links, audit` of `classes`, and the depths looked at with the recall found for each."""
+    depth, passes, links = DEPTH, [], None
+    state = classes.withColumn("component", F.col("rep"))
+    while True:
+        merged = stable(connected_components(_meetings(state, depth, threshold, node_block)))
+        grown = state.withColumnRenamed("component", "node").join(merged, "node").drop("node")
+        fresh = _verified(rows, grown, shingle, threshold, set_block)
+        if links is not None:
+            again = grown.select(F.col("rep").alias("a"))
+            fresh = stable(links.join(again, "a", "left_anti").unionByName(fresh))
+        links = fresh
+        audit = np.zeros(BANDS * DEPTH * 4, np.int64)
+        for place, n in links.select(F.posexplode("audit")).groupBy("pos").agg(F.sum("col")).collect():
+            audit[place] = n
+        audit = audit.reshape(BANDS, DEPTH, 4)
+        passes.append((depth, forest_recall(audit, depth, threshold, target_recall)))
+        shorter = next_depth(audit, depth, threshold, target_recall)
+        if shorter is None:
+            return links, passes
+        depth = shorter
+        renamed = merged.select(F.col("node").alias("component"), F.col("component").alias("whole"))
+        joined = state.join(renamed, "component", "left")
+        state = stable(joined.withColumn("component", F.coalesce("whole", "component")).drop("whole"))
+
+
+def _meetings(state: DataFrame, depth: int, threshold: float, node_block: int) -> DataFrame:
+    """Edges `a, b` between groups that have classes with like signatures at one node of `depth`."""
+    kind = state.schema["rep"].dataType.simpleString()
+    parts = state.select("rep", "signature", F.xxhash64("component").alias("part"))
+    nodes = stable(parts.mapInArrow(_nodes(depth), f"group bigint, rep {kind}, part bigint"))
+    sizes = nodes.groupBy("group").agg(F.count(F.lit(1)).alias("size"), F.min("part").alias("lo"), F.max("part").alias("hi"))
+    shared = sizes.filter("lo < hi").select("group", "size")
+    members = nodes.join(shared, "group").join(state.select("rep", "signature", "component"), "rep")
     # Four deviations of the estimate below the threshold; what is let through is compared exactly later.
     least = threshold - 4 * (threshold * (1 - threshold) / len(_SEEDS)) ** 0.5
-    units = block_pairs(members, "size", node_block, "rep").select("group", "i", "j", "rep", "signature")
-    near = connected_components(by_unit(units, _alike(least), ids))
-
-    near = stable(near)
-    sizes = near.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    spread = near.join(sizes, "component").join(classes.select(F.col("rep").alias("node"), "texts", "s1", "s2"), "node")
-    numbered = spread.select(F.col("node").alias("rep"), F.xxhash64("component").alias("group"), "size", "texts", "s1")
-    named = rows.select(F.col("id").alias("rep"), "text").join(numbered, "rep")
-    sets = named.mapInArrow(
-        _set_rows(shingle), f"rep {kind}, group bigint, size bigint, texts bigint, s1 bigint, shingles binary"
+    units = block_pairs(members, "size", node_block, "rep").select("group", "i", "j", "part", "component", "signature")
+    return by_unit(units, _alike(least), f"a {kind}, b {kind}")
+
+
+def _verified(rows: DataFrame, grown: DataFrame, shingle: int, threshold: float, set_block: int) -> DataFrame:
+    """Verified links inside the groups of `grown`."""
+    kind = grown.schema["rep"].dataType.simpleString()
+    grown = stable(grown.select("rep", "component", "texts", "s1", "signature"))
+    sizes = grown.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    named = grown.join(sizes, "component").withColumn("group", F.xxhash64("component")).drop("component")
+    sets = rows.select(F.col("id").alias("rep"), "text").join(named, "rep").mapInArrow(
+        _set_rows(shingle),
+        f"rep {kind}, group bigint, size bigint, texts bigint, s1 bigint, signature binary, shingles binary",
     )
     pairs = block_pairs(sets, "size", set_block, "rep")
-    return stable(by_unit(pairs, _exact(threshold), f"{ids}, links bigint, pairs bigint, similarity double"))
+    return stable(by_unit(pairs, _exact(threshold), f"a {kind}, b {kind}, links bigint, audit array<bigint>"))

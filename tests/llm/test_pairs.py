@@ -74,10 +74,54 @@ def test_jaccard_groups(spark, node_block, set_block):
     assert jaccard.jaccard_groups(docs.limit(0)).count() == 0
 
 
-def test_prefix_is_shortened_to_the_target():
-    assert jaccard.longest_prefix(0.8, 0.0) == jaccard.DEPTH
-    k = jaccard.longest_prefix(0.8, 0.999)
+def audit_of(links, chance):
+    """The counts expected of `links` links in every band, where one tree finds `chance(depth)` of them."""
+    audit = np.zeros((jaccard.BANDS, jaccard.DEPTH, 4), np.int64)
+    for depth in range(1, jaccard.DEPTH + 1):
+        q, n = chance(depth), jaccard.TREES
+        once, twice = n * q * (1 - q) ** (n - 1), n * (n - 1) / 2 * q**2 * (1 - q) ** (n - 2)
+        audit[:, depth - 1] = [0, round(links * once), round(links * twice), round(links * (1 - (1 - q) ** n))]
+    return audit
+
+
+def test_depth_follows_the_recall_found():
+    nothing = audit_of(0, lambda d: 0.5)
+    assert jaccard.next_depth(nothing, 8, 0.8, 0.0) is None
+    k = jaccard.next_depth(nothing, 8, 0.8, 0.999)
     assert jaccard.meeting_chance(0.8, k) >= 0.999 > jaccard.meeting_chance(0.8, k + 1)
+    assert jaccard.next_depth(nothing, k, 0.8, 0.999) is None
+    # Links that are found in every tree need no shorter prefix, links that are hardly found need one and end at 1.
+    assert jaccard.next_depth(audit_of(10**6, lambda d: 0.9), 8, 0.8, 0.999) is None
+    worse = audit_of(10**6, lambda d: 0.8**d)
+    assert abs(jaccard.forest_recall(worse, 8, 0.8, 0.999) - jaccard.meeting_chance(0.8, 8)) < 0.01
+    assert jaccard.next_depth(worse, 8, 0.8, 0.99) == 6
+    assert jaccard.next_depth(audit_of(10**6, lambda d: 0.05), 8, 0.8, 0.999) == 1
+    # Links that met nowhere but were verified with their group count as missed.
+    unmet = audit_of(10**6, lambda d: 0.9)
+    unmet[0, 7] = [5000, 0, 0, 10**6]
+    assert jaccard.forest_recall(unmet, 8, 0.8, 0.999) < 0.996
+
+
+def test_forest_is_descended_until_recall_is_met(spark):
+    rng = random.Random(21)
+    texts = []
+    for _ in range(400):
+        w = sentence(rng, 104).split()
+        texts += [" ".join(w), " ".join(w[:50] + ["odd"] + w[51:90] + ["odd"] + w[91:])]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    found = jaccard._sketch(5)
+    classes = rows.mapInArrow(found, jaccard.SKETCH).selectExpr("row rep", "1L texts", "s1", "s2", "signature")
+    classes.write.mode("overwrite").saveAsTable("forest_classes")
+    try:
+        links, passes = jaccard.forest_links(rows, spark.table("forest_classes"), target_recall=0.99)
+        got = {tuple(sorted(r)) for r in collected(links.filter("a <> b"), "a", "b")}
+        assert dict(collected(links.groupBy("links").count(), "links", "count")) == {1: 2 * len(got)}
+    finally:
+        spark.sql("drop table forest_classes")
+    assert passes[0][0] == jaccard.DEPTH and len(passes) > 1
+    assert all(recall < 0.99 for _, recall in passes[:-1]) and passes[-1][1] >= 0.99
+    want = {(2 * k, 2 * k + 1) for k in range(400)}
+    assert got <= want and len(got) >= 0.99 * len(want)
 
 
 def vectors(spark, rows):
