@@ -41,7 +41,8 @@ class Rule:
         return reduce(lambda a, b: a & b, checks, F.lit(True))
 
 
-#: The production table. Symbols, stop words and lines are shares; lengths are code points.
+#: The production table. Symbols, stop words, words in capitals and lines (repeated, or with a bullet) are shares; lengths
+#: are code points.
 RULES = (
     Rule("mean_word_length", "word_chars", "n_words", least=1.5, most=30.0),
     Rule("symbols_per_word", "n_symbols", "n_words", most=0.25),
@@ -104,7 +105,7 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     held = docs.withColumn("__text", value).withColumn("__words", words(F.col("__text")))
     whole, tokens = F.col("__text"), F.col("__words")
     lines = F.filter(F.split(whole, "\n"), lambda line: line.rlike(WORD_PATTERN))
-    list_line = F.filter(lines, lambda line: line.rlike(rf"^{SPACE_CLASS}*[-*•|]") | (F.instr(line, " | ") > 0))
+    list_line = F.filter(lines, lambda line: line.rlike(rf"^{SPACE_CLASS}*[-*•|]"))
     measured = {
         "n_words": F.size(tokens),
         "word_chars": F.length(F.translate(whole, " \t\n\x0b\x0c\r", "")),
@@ -113,7 +114,7 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
         "n_list_lines": F.size(list_line),
         "n_stop_words": F.size(F.filter(tokens, lambda w: w.rlike(stop))),
-        "n_shouted": F.size(F.filter(tokens, lambda w: F.endswith(w, F.lit("!!")))),
+        "n_shouted": F.size(F.filter(tokens, lambda w: (F.upper(w) == w) & (F.lower(w) != w))),
         "n_repeat_words": repeated_window_words(tokens),
     }
     return held.withColumns({k: v.cast("long") for k, v in measured.items()}).drop("__text", "__words")

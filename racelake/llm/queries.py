@@ -91,9 +91,9 @@ m AS (
     SELECT w.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
            length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, len(l)::BIGINT AS n_lines,
            (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
-           len(list_filter(l, lambda x: regexp_matches(x, '^[ \t-\r]*[-*•|]') OR contains(x, ' | ')))::BIGINT AS n_list_lines,
+           len(list_filter(l, lambda x: regexp_matches(x, '^[ \t-\r]*[-*•|]')))::BIGINT AS n_list_lines,
            len(list_filter(w, lambda x: regexp_full_match(x, {_STOP})))::BIGINT AS n_stop_words,
-           len(list_filter(w, lambda x: suffix(x, '!!')))::BIGINT AS n_shouted,
+           len(list_filter(w, lambda x: upper(x) = x AND lower(x) <> x))::BIGINT AS n_shouted,
            coalesce(n, 0)::BIGINT AS n_repeat_words
     FROM w JOIN l USING (doc_id) LEFT JOIN repeats USING (doc_id)),
 b AS (SELECT *, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed, {_broken_sql()} AS broken FROM m)
