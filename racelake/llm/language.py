@@ -82,9 +82,11 @@ def fit(
     learned from. The driver holds the dictionaries only."""
     labelled = docs.filter(F.col(text).rlike(r"\p{L}") & F.col(lang).isNotNull())
     texts = labelled.select(F.col(lang).alias("lang"), F.xxhash64(text).alias("order"), F.col(text).alias("text"))
-    # The rank limit is applied before the shuffle too, so a language of any size sends few rows.
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("order"))
-    chosen = texts.select("lang", "order").distinct().withColumn("rank", rank).filter(F.col("rank") <= sample_rows)
+    # First in each of 16 parts of a language, then of what is left: no task gets more than 16 * `sample_rows` of one.
+    chosen = texts.select("lang", "order").distinct().withColumn("part", F.pmod("order", F.lit(16)))
+    for keys in (["lang", "part"], ["lang"]):
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy("order"))
+        chosen = chosen.withColumn("rank", rank).filter(F.col("rank") <= sample_rows)
     named = texts.join(F.broadcast(chosen.select("lang", "order")), ["lang", "order"])
     whole = named.groupBy("lang", "order").agg(F.min(F.lower("text").cast("binary")).alias("raw"))
 
