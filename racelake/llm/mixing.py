@@ -136,7 +136,8 @@ def plan_mix(
         taken = blocks.groupBy("s").agg(F.sum(F.when(F.col("more"), amount).otherwise(0)).alias("had"))
         open_ = known.join(taken, "s").select("s", (F.col("extra") + 0.5 - F.col("had")).alias("open"))
         fits = ~F.col("more") & (amount > 0) & (amount <= F.col("open"))
-        summed = _running(blocks.join(open_, "s"), F.when(fits, amount).otherwise(0), "upto")
+        # One row for each source, as `known` has.
+        summed = _running(blocks.join(F.broadcast(open_), "s"), F.when(fits, amount).otherwise(0), "upto")
         chosen = F.col("more") | (fits & (F.col("upto") <= F.col("open")))
         blocks = stable(summed.withColumn("more", chosen).drop("open", "upto"))
 
@@ -155,7 +156,7 @@ def plan_mix(
     first = F.transform(passes, lambda k: position(k * F.col("source_size") + F.col("all_upto") - amount / 2))
     last = F.when(F.col("more"), F.array(position(again))).otherwise(F.array().cast("array<double>"))
     return (
-        placed.join(facts, "s")
+        placed.join(F.broadcast(facts), "s")
         .withColumn("full", full.cast("double"))
         .withColumn("positions", F.concat(first, last))
         .select(*KEY, "n_rows", "source_size", "target", F.size("positions").alias("copies"), "positions")
