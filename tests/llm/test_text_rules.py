@@ -33,6 +33,13 @@ def test_measures_match_brute_force(spark):
         assert repeat == repeated_words(tokens, 8)
 
 
+def test_capitals_and_bullets_are_real_measures(spark):
+    texts = [("NOW, BUY! Über ÜBER 12 a A", 0), ("- one\n* two\n a | b\n\u2022 c\n| d", 4), (None, 0), ("", 0)]
+    docs = documents(spark, [(i, t, "en", "s") for i, (t, _) in enumerate(texts)])
+    got = sorted(collected(quality.measures(docs), "doc_id", "n_shouted", "n_list_lines"))
+    assert [r[1] for r in got] == [4, 0, 0, 0] and [r[2] for r in got] == [n for _, n in texts]
+
+
 def test_rules_are_one_projection_without_functions_of_the_user(spark):
     plan = quality.apply_rules(documents(spark))._jdf.queryExecution().executedPlan().toString()
     assert not any(word in plan for word in ("Python", "Pandas", "Arrow", "Exchange"))
