@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,6 +51,9 @@ PAGE = T.StructType(
     ]
 )
 
+# The first and last line of a season's document.
+OPENING, CLOSING = '{"Races":[', "]}"
+
 # Results in one document, as many as a page of the results service holds.
 PAGE_ROWS = 100
 
@@ -213,9 +216,10 @@ def nest_results(
 
 
 def season_documents(flat: DataFrame, order: Sequence[str]) -> DataFrame:
-    """The reverse of `flatten_results` by season: one document for each, races by round and name, results in `order`.
+    """The reverse of `flatten_results` by season: rows of `season`, `part` and `line`, in whose order a season's lines
+    are one document, races by round and name, results in `order`.
 
-    A document is a whole season by definition, so one task gathers a season's results.
+    A line holds one race whole, or a bracket, so no task gathers more than a race and no row is a season.
     """
     race_keys = ["season", "round", "raceName", "date", *CIRCUIT.names]
     result = F.struct(
@@ -232,14 +236,39 @@ def season_documents(flat: DataFrame, order: Sequence[str]) -> DataFrame:
         F.struct(*CIRCUIT.names).alias("Circuit"),
         F.col("numbered.result").alias("Results"),
     )
-    keyed = F.struct(F.col("round").try_cast("int").alias("n"), F.col("raceName").alias("name"), race.alias("race"))
-    seasons = races.groupBy("season").agg(F.array_sort(F.collect_list(keyed)).alias("races"))
-    return seasons.select("season", F.col("races.race").alias("Races"))
+    number = F.col("round").try_cast("int").alias("n")
+    key = F.struct(number, *[F.col(c) for c in ("raceName", "round", "date", *CIRCUIT.names)])
+    # Separators need a season's first race, which its keys tell.
+    first = flat.groupBy("season").agg(F.min(key).alias("key")).select(F.col("season").alias("of"), F.col("key").alias("first"))
+    placed = races.join(first, F.col("season").eqNullSafe(F.col("of")))
+    comma = F.when(key.eqNullSafe(F.col("first")), "").otherwise(",")
+
+    def part(kind: int, key: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), key.alias("key")).alias("part")
+
+    lines = placed.select("season", part(1, key), F.concat(comma, F.to_json(race)).alias("line"))
+    ends = [
+        first.select(F.col("of").alias("season"), part(kind, F.col("first")), F.lit(text).alias("line"))
+        for kind, text in ((0, OPENING), (2, CLOSING))
+    ]
+    return lines.unionByName(ends[0]).unionByName(ends[1])
 
 
 def write_season_documents(documents: DataFrame, path: str) -> None:
-    """One file for each season, `season=…` in its folder's name."""
-    documents.repartition("season").write.mode("overwrite").partitionBy("season").json(path)
+    """One file for each season, `season=…` in its folder's name. Lines are sorted and written one by one."""
+    # The name of a null's folder: it lets the writer take the rows as they are sorted.
+    folder = F.coalesce("season", F.lit("__HIVE_DEFAULT_PARTITION__")).alias("season")
+    sorted_lines = documents.select(folder, "part", "line").repartition("season").sortWithinPartitions("season", "part")
+    sorted_lines.select("season", "line").write.mode("overwrite").partitionBy("season").text(path)
+
+
+def read_season_documents(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """What `write_season_documents` wrote, by race: as each line holds one, Spark can split a season's file. For
+    season documents with other line breaks see `read_documents`."""
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    lines = spark.read.text(paths).filter(~F.col("value").isin(OPENING, CLOSING))
+    race = F.from_json(F.ltrim("value", F.lit(",")), RACE)
+    return lines.select(F.array(race).alias("Races"))
 
 
 def as_pages(documents: DataFrame) -> DataFrame:

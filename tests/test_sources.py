@@ -127,3 +127,30 @@ def test_scratch_is_shared(spark):
     assert scratch.shared_dir(spark) == folder and scratch.new_path(spark, "x") != scratch.new_path(spark, "x")
     fixed = scratch.stable(spark.range(5).withColumn("r", F.rand()))
     assert rows(fixed) == rows(fixed)
+
+
+def test_season_documents_by_line(spark, tmp_path):
+    """A season is one document of many lines, of which none holds more than a race."""
+    names = ["season", "round", "raceName", "date", *documents.CIRCUIT.names, *documents.DRIVER.names,
+             *documents.CONSTRUCTOR.names, "grid", "position", "points", "laps", "status"]
+    rows = [
+        (*[season, str(r), f"race \n{r}", None if r == 2 else f"2000-01-{d:02}", f"c{r}", "C"], *[None if n == 4 else f"{k},{n}]}}" for k in range(12)], n)
+        for season in ("1999", "2000", None)
+        for r in range(12)
+        for d in (1, 2)
+        for n in range(7)
+    ]
+    flat = spark.createDataFrame(rows, ", ".join([*[f"{n} string" for n in names], "n int"]))
+    path = str(tmp_path / "seasons")
+    documents.write_season_documents(documents.season_documents(flat, ["n"]), path)
+    # The races of a round without dates are one.
+    races = flat.select("season", "round", "date").distinct().count()
+    assert spark.read.text(path).count() == races + 2 * 3
+    whole = documents.read_documents(spark, path)
+    assert whole.count() == 3
+    first = whole.filter("Races[0].season = '1999'").first().Races
+    assert [int(r.round) for r in first] == sorted(int(r.round) for r in first)
+    assert [r.Driver.driverId for r in first[0].Results if r.Driver and r.Driver.driverId] == [f"0,{n}]}}" for n in range(7) if n != 4]
+    expected = sorted(flat.drop("n").collect(), key=str)
+    for read in (whole, documents.read_season_documents(spark, path)):
+        assert sorted(documents.flatten_results(read).select(*names).collect(), key=str) == expected
