@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.ml import Pipeline
+from pyspark.ml.feature import VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -998,8 +999,12 @@ def assembled_features(spark, sf):
     """The numbers of each row as the estimators get them, behind the one-hot slots."""
     rows = training.model_ready(training.prepare_training(_dataset(spark, sf), TRAIN_ORDER))
     stages = training.build_model(training.logistic_regression()).getStages()[:-1]
-    vectors = Pipeline(stages=stages).fit(rows).transform(rows).withColumn("__all", vector_to_array("features"))
-    tail = {c: F.element_at("__all", i - len(training.NUMERIC)) for i, c in enumerate(training.NUMERIC)}
+    fitted = Pipeline(stages=stages).fit(rows)
+    # Only the slots asked for are spread out: with all of them a row is as wide as there are keys.
+    slots = sum(size - 1 for size in fitted.stages[1].categorySizes)
+    tail = VectorSlicer(inputCol="features", outputCol="tail", indices=[slots + i for i, _ in enumerate(training.NUMERIC)])
+    vectors = tail.transform(fitted.transform(rows)).withColumn("__tail", vector_to_array("tail"))
+    tail = {c: F.get("__tail", F.lit(i)) for i, c in enumerate(training.NUMERIC)}
     return vectors.select("result_id", *[F.round(v, 6).alias(c) for c, v in tail.items()])
 
 

@@ -67,3 +67,24 @@ def test_prepare(dataset):
     assert prepared.columns == ["date", *results.FEATURES, "finished_top_10"] and prepared.count() == 390
     ready = training.model_ready(prepared.withColumn("grid", F.lit(None).cast("int")))
     assert ready.filter("grid = 0.0").count() == 390
+
+
+def test_assembled_numbers_stay_narrow(spark, tmp_path, monkeypatch):
+    """Of the assembled vector only the numbers are spread out, whatever the number of keys."""
+    from racelake.catalog import queries
+
+    widths = []
+    spread = queries.vector_to_array
+    monkeypatch.setattr(queries, "vector_to_array", lambda c: widths.append(c) or spread(c))
+    spark.range(300).selectExpr(
+        "id AS o_orderkey", "id % 150 AS o_custkey", "date_add(DATE'1995-01-01', cast(id AS int)) AS o_orderdate",
+        "'F' AS o_orderstatus", "cast(id AS double) * 1000 AS o_totalprice",
+    ).write.parquet(str(tmp_path / "orders.parquet"))
+    spark.range(150).selectExpr("id AS c_custkey", "concat('c', id) AS c_name", "cast(id % 5 AS int) AS c_nationkey").write.parquet(
+        str(tmp_path / "customer.parquet")
+    )
+    got = queries.assembled_features(spark, str(tmp_path))
+    assert widths == ["tail"] and got.columns == ["result_id", *training.NUMERIC]
+    rows = {r.result_id: r for r in got.collect()}
+    assert 1 in rows and 23 not in rows
+    assert all(r.grid == r.result_id * 7 % 20 + 1 and r.driver_num_races == 2 and r.season >= 1995 for r in rows.values())
