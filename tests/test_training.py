@@ -88,3 +88,44 @@ def test_assembled_numbers_stay_narrow(spark, tmp_path, monkeypatch):
     rows = {r.result_id: r for r in got.collect()}
     assert 1 in rows and 23 not in rows
     assert all(r.grid == r.result_id * 7 % 20 + 1 and r.driver_num_races == 2 and r.season >= 1995 for r in rows.values())
+
+
+def test_forest_takes_wide_sparse_rows(spark, tmp_path):
+    """A million slots: a forest over spread-out rows would hold a gigabyte for each hundred of them."""
+    from pyspark.ml.linalg import SparseVector, Vectors
+
+    from racelake.operators.forest import SparseForest, SparseForestModel
+
+    wide = 1_000_000
+    rows = [
+        (i, int(i % 7 == 3 or i % 20 > 15), SparseVector(wide, {i * 100: 1.0, 900_000 + i % 7: 1.0, wide - 2: float(i % 20), wide - 1: -1.0 * i}))
+        for i in range(4000)
+    ]
+    df = spark.createDataFrame(rows, ["id", "y", "v"]).repartition(4)
+    model = SparseForest("y", "v", trees=1, depth=5, seed=1, memory_mb=64, features="auto").fit(df)
+    got = model.transform(df)
+    assert got.filter("prediction <> y").count() == 0
+    path = str(tmp_path / "forest")
+    model.write().save(path)
+    again = SparseForestModel.load(path).transform(df).select("id", "rawPrediction", "probability", "prediction").collect()
+    assert sorted(again) == sorted(got.select("id", "rawPrediction", "probability", "prediction").collect())
+
+    # Dense vectors, several trees: the first feature decides, one of the others has a single value that isn't zero.
+    dense = spark.createDataFrame(
+        [(i, int(i % 10 > 4), Vectors.dense([float(i % 10), 3.0 * (i % 2), 0.0, float(i % 3)])) for i in range(500)], ["id", "y", "v"]
+    )
+    first = SparseForest("y", "v", trees=5, depth=2, seed=1, memory_mb=64, features="all").fit(dense)
+    assert first.transform(dense).filter("prediction <> y").count() == 0
+    assert list(first.nodes.feature[:5]) == [0] * 5
+    # Each tree sees other rows, as many as there are on average, and a node's counts are its children's.
+    roots = first.nodes.counts[:5].sum(axis=1)
+    assert len(set(roots)) > 1 and 440 < roots.mean() < 560
+    nodes = first.nodes
+    inner = nodes.left >= 0
+    assert (nodes.counts[inner] == nodes.counts[nodes.left[inner]] + nodes.counts[nodes.left[inner] + 1]).all()
+    same = SparseForest("y", "v", trees=5, depth=2, seed=1, memory_mb=1, features="all").fit(dense).nodes
+    assert (same.counts == nodes.counts).all()
+    few = SparseForest("y", "v", trees=20, depth=1, seed=1, memory_mb=64, features="sqrt").fit(dense)
+    assert set(few.nodes.feature[:20]) > {0}
+    with pytest.raises(ValueError, match="labelled"):
+        SparseForest("y", "v", 1, 1, 1, 64, "all").fit(dense.withColumn("y", F.lit(2)))
