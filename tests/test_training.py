@@ -129,3 +129,34 @@ def test_forest_takes_wide_sparse_rows(spark, tmp_path):
     assert set(few.nodes.feature[:20]) > {0}
     with pytest.raises(ValueError, match="labelled"):
         SparseForest("y", "v", 1, 1, 1, 64, "all").fit(dense.withColumn("y", F.lit(2)))
+
+
+def test_features_name_no_slots(spark, tmp_path, dataset):
+    """Vectors are those of Spark's stages, but no key is named in a column's metadata: with many keys, the names were many
+    times their size on the driver, and every part of the rows sent a gradient as wide as all keys."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+
+    from racelake.operators.encode import SparseEncoderModel, one_hot_stages
+
+    rows = training.model_ready(training.prepare_training(dataset)).withColumn(
+        "circuit_id", F.when(F.col("round") % 5 != 0, F.col("circuit_id"))
+    )
+    known, new = rows.filter("round < 30 and driver_id <> 'd3'"), rows.withColumn("grid", F.col("grid") - 1)
+    vectors = [f"{c}_vector" for c in training.CATEGORICAL]
+    plain = Pipeline(stages=[*one_hot_stages(training.CATEGORICAL), VectorAssembler(inputCols=[*vectors, *training.NUMERIC], outputCol="features")])
+    wanted = [r.features for r in plain.fit(known).transform(new).collect()]
+    encoder = Pipeline(stages=training.build_model(training.logistic_regression()).getStages()[:-1]).fit(known)
+    got = encoder.transform(new)
+    assert got.schema["features"].metadata == {} and got.columns == [*new.columns, "features"]
+    rows_got = [r.features for r in got.collect()]
+    assert rows_got == wanted and [type(v) for v in rows_got] == [type(v) for v in wanted]
+    path = str(tmp_path / "encoder")
+    encoder.stages[0].write().save(path)
+    assert [r.features for r in SparseEncoderModel.load(path).transform(new).collect()] == wanted
+
+    seen = []
+    estimator = training.logistic_regression(5)
+    estimator.inner = type("Spy", (), {"fit": lambda self, df: seen.append(df.rdd.getNumPartitions())})()
+    estimator.fit(encoder.transform(known.repartition(40)))
+    assert 1 <= seen[0] <= spark.sparkContext.defaultParallelism
