@@ -74,7 +74,7 @@ for _who, _entity in (("driver", "driver"), ("constructor", "team_name")):
 
 def _carried_lake(spark, sf) -> Lake:
     lake = Lake(spark, new_path(spark, "lake"))
-    silver = stable(silver_race_laps(spark, sf))
+    silver = silver_race_laps(spark, sf)
     lake.write_by_driver(silver, "silver", "laps")
     to_gold(lake, carry_over=True)
     one = lake.of([1995])
@@ -176,7 +176,7 @@ view("untimed_laps", "race_weather", "race_results")(
 def lap_rows_untimed(spark, sf):
     """Laps without a time are no targets, but still the lap before the next one."""
     untimed = F.when((F.col("lap_number") % 9 != 0) & (F.col("driver") != "S7"), F.col("lap_time_ms"))
-    return datasets.lap_dataset(stable(silver_race_laps(spark, sf).withColumn("lap_time_ms", untimed)))
+    return datasets.lap_dataset(silver_race_laps(spark, sf).withColumn("lap_time_ms", untimed))
 
 
 _WEATHER = ", ".join(f"w.{c}" for c in laps.WEATHER)

@@ -37,7 +37,7 @@ from racelake.plans import datasets, laps, results, summaries, training
 from racelake.plans.lake import Lake, run_laps, run_season_results, to_bronze, to_silver, write_raw_session
 from racelake.schemas import schema
 from racelake.sources import calendar, documents
-from racelake.sources.bucketed import stable_bucketed
+from racelake.sources.bucketed import default_buckets, stable_bucketed
 from racelake.sources.scratch import new_path, stable
 from racelake.sources.tables import read_all, read_optional, read_table, write_table
 
@@ -65,9 +65,12 @@ def stored_laps(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
 
 
 def silver_race_laps(spark: SparkSession, sf: str) -> DataFrame:
-    rows = stored_laps(spark, sf)
+    """Stored in buckets of a driver's race. Laps are dealt to them once, before they are numbered; joins with weather and
+    results, and windows over what is returned, leave them there."""
+    rows = stable_bucketed(views.race_laps(spark, sf, default_buckets(spark)), datasets.DRIVER_KEY, ["lap_number"], placed=True)
     joined = laps.with_results(laps.with_weather(rows, views.race_weather(rows)), views.race_results(rows))
-    return joined.drop("rainfall").withColumnsRenamed(laps.SILVER_NAMES)
+    silver = joined.drop("rainfall").withColumnsRenamed(laps.SILVER_NAMES)
+    return stable_bucketed(silver, datasets.DRIVER_KEY, ["lap_number"], placed=True)
 
 
 def driver_summary(spark: SparkSession, sf: str) -> DataFrame:
@@ -144,17 +147,18 @@ def race_prediction_dataset(spark, sf):
 
 @query("lap_prediction_dataset", "SELECT * FROM lap_rows", "lap_rows")
 def lap_prediction_dataset(spark, sf):
-    return datasets.lap_dataset(stable(silver_race_laps(spark, sf)))
+    return datasets.lap_dataset(silver_race_laps(spark, sf))
 
 
 @query("next_known_compound", "SELECT * FROM next_compound", "next_compound")
 def next_known_compound(spark, sf):
-    return datasets.known_compound(stable(lap_prediction_dataset(spark, sf)))
+    rows = stable_bucketed(lap_prediction_dataset(spark, sf), datasets.DRIVER_KEY, ["lap_number"], placed=True)
+    return datasets.known_compound(rows)
 
 
 @query("next_known_blocks", "SELECT * FROM next_compound", "next_compound")
 def next_known_blocks(spark, sf):
-    return datasets.known_compound(stable(lap_prediction_dataset(spark, sf)), split=True)
+    return datasets.known_compound(lap_prediction_dataset(spark, sf), split=True)
 
 
 @query(
@@ -192,9 +196,9 @@ FROM (
 
 @query("lap_ml_table", _LAP_ML_SQL, "next_compound", "driver_form", "constructor_form")
 def lap_ml_table(spark, sf):
-    silver = stable(silver_race_laps(spark, sf))
+    silver = silver_race_laps(spark, sf)
     summary = stable(summaries.driver_race_summary(silver))
-    rows = stable_bucketed(datasets.lap_dataset(silver), datasets.DRIVER_KEY, ["lap_number"])
+    rows = stable_bucketed(datasets.lap_dataset(silver), datasets.DRIVER_KEY, ["lap_number"], placed=True)
     history = stable_bucketed(datasets.lap_history(*both_forms(summary)), datasets.DRIVER_KEY)
     return rounded(datasets.lap_ml_table_as_stored(rows, history), *JOINED_MEANS)
 

@@ -16,7 +16,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def race_laps(spark: SparkSession, sf_dir: str) -> DataFrame:
+def race_laps(spark: SparkSession, sf_dir: str, buckets: int | None = None) -> DataFrame:
+    """With `buckets`, rows are dealt by season, race and driver to so many partitions before they are numbered: their only
+    exchange, as the drivers' teams (two numbers for each) are broadcast."""
     items = table(spark, sf_dir, "lineitem").select(
         F.year("l_shipdate").alias("season"), F.month("l_shipdate").alias("month"),
         "l_suppkey", "l_partkey", "l_orderkey", "l_linenumber", "l_shipdate", "l_returnflag", "l_linestatus",
@@ -24,14 +26,20 @@ def race_laps(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    known = items.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
+    known = items.join(F.broadcast(suppliers) if buckets else suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
     order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey"]
-    laps = add_row_number(known, ["season", "month", "l_suppkey"], order, "lap")
+    race, driver = F.concat(F.lit("race_"), F.col("month")), F.concat(F.lit("S"), F.col("l_suppkey"))
+    by = ["season", "month", "l_suppkey"]
+    if buckets:
+        by = ["season", "race", "driver"]
+        known = known.withColumns({"race": race, "driver": driver}).drop("month").repartition(buckets, *by)
+        race, driver = F.col("race"), F.col("driver")
+    laps = add_row_number(known, by, order, "lap")
     n, line = F.col("lap").cast("int"), F.col("l_linenumber")
     return laps.join(nations, F.col("s_nationkey") == F.col("n_nationkey")).select(
         "season",
-        F.concat(F.lit("race_"), F.col("month")).alias("race"),
-        F.concat(F.lit("S"), F.col("l_suppkey")).alias("driver"),
+        race.alias("race"),
+        driver.alias("driver"),
         F.col("l_suppkey").cast("string").alias("driver_number"),
         F.col("n_name").alias("team_name"),
         n.alias("lap_number"),

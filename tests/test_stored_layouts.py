@@ -327,3 +327,29 @@ def test_rerun_of_a_table_without_folders(spark, tmp_path):
     write_table(spark.range(3), str(tmp_path / "t"))
     write_table(spark.range(2), str(tmp_path / "t"))
     assert read_table(spark, str(tmp_path / "t")).count() == 2
+
+
+def test_laps_are_dealt_once(spark, tmp_path):
+    """From their numbering on, laps stay in their buckets: joins with weather and results and the windows move none."""
+    from racelake.catalog import queries
+
+    spark.range(400).selectExpr(
+        "date_add(DATE'1995-01-01', cast(id % 70 AS int)) AS l_shipdate", "id % 7 AS l_suppkey", "id AS l_partkey", "id AS l_orderkey",
+        "cast(id % 7 + 1 AS int) AS l_linenumber", "'R' AS l_returnflag", "'F' AS l_linestatus", "cast(id % 50 AS double) AS l_quantity",
+        "cast(id * 10 AS double) AS l_extendedprice", "0.05D AS l_discount", "0.02D AS l_tax",
+    ).write.parquet(str(tmp_path / "lineitem.parquet"))
+    # One supplier is unknown, one comes twice.
+    spark.sql("SELECT explode(array(0, 1, 2, 3, 3, 4, 5)) AS id").selectExpr("cast(id AS bigint) AS s_suppkey", "id % 2 AS s_nationkey").write.parquet(
+        str(tmp_path / "supplier.parquet")
+    )
+    spark.sql("SELECT 0 AS n_nationkey, 'A' AS n_name UNION ALL SELECT 1, 'B'").write.parquet(str(tmp_path / "nation.parquet"))
+    silver = queries.silver_race_laps(spark, str(tmp_path))
+    rows = queries.datasets.lap_dataset(silver)
+    for df in (silver, rows, queries.next_known_compound(spark, str(tmp_path))):
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    assert rows.count() == sum(2 if i % 7 == 3 else 1 for i in range(400) if i % 7 != 6)
+    # Numbers go from 1 on in each driver's race, and each lap knows the one before.
+    by = ["season", "race", "driver"]
+    facts = rows.groupBy(*by).agg(F.count("*").alias("n"), F.max("lap_number").alias("last"), F.count("last_lap_time_ms").alias("known"))
+    assert facts.filter("n <> last OR known <> n - 1").count() == 0 and facts.count() > 7
+    assert spark.conf.get("spark.sql.sources.bucketing.autoBucketedScan.enabled") == "true"
