@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from sentencepiece import sentencepiece_model_pb2
 
+from racelake.llm.chunks import give_back
 from racelake.llm.words import row_slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -166,6 +167,8 @@ def encode_texts(docs: DataFrame, text: str = "text", ids: str = "ids", model: s
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # What the stages before have left in this worker counts against the executor too.
+        give_back()
         codec = pieces_of(shared.value)
         for batch in batches:
             # More words at a time share more prefixes.
@@ -180,6 +183,7 @@ def encode_texts(docs: DataFrame, text: str = "text", ids: str = "ids", model: s
                 yield pa.record_batch([*part.columns, lists], names=shape.names)
         # Workers outlive their tasks; what they keep would count against the next stage's memory.
         codec.memory.clear()
+        give_back()
 
     return docs.mapInArrow(run, shape)
 
