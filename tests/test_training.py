@@ -62,6 +62,22 @@ def test_train_save_score(spark, tmp_path, history, stats, dataset, estimator):
 
 
 
+def test_models_share_split_and_encoder(dataset, monkeypatch):
+    """Rows are split and their slots found once, and each model is the one that it is alone."""
+    split, fit, calls = training.time_split, training.SparseEncoder._fit, []
+    monkeypatch.setattr(training, "time_split", lambda *a: calls.append("split") or split(*a))
+    monkeypatch.setattr(training.SparseEncoder, "_fit", lambda self, rows: calls.append("fit") or fit(self, rows))
+    models = [training.random_forest(trees=3, depth=3), training.logistic_regression(20, 0.01)]
+    both = training.train_each(dataset, models)
+    assert sorted(calls) == ["fit", "split"]
+
+    def found(trained):
+        return sorted(trained.predictions.select("date", "driver_id", "prediction").collect())
+
+    for model, together in zip(models, both, strict=True):
+        assert found(together) == found(training.train(dataset, model)) and together.report.count() == 5
+
+
 def test_prepare(dataset):
     prepared = training.prepare_training(dataset.withColumn("finished_top_10", F.when(F.col("round") > 0, F.col("finished_top_10"))))
     assert prepared.columns == ["date", *results.FEATURES, "finished_top_10"] and prepared.count() == 390
