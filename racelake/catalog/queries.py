@@ -37,7 +37,7 @@ from racelake.plans import datasets, laps, results, summaries, training
 from racelake.plans.lake import Lake, run_laps, run_season_results, to_bronze, to_silver, write_raw_session
 from racelake.schemas import schema
 from racelake.sources import calendar, documents
-from racelake.sources.bucketed import default_buckets, stable_bucketed
+from racelake.sources.bucketed import default_buckets, stable_bucketed, stay
 from racelake.sources.scratch import new_path, stable
 from racelake.sources.tables import read_all, read_optional, read_table, write_table
 
@@ -1176,8 +1176,8 @@ def _raw_table(df: DataFrame, session_type: str = "R") -> DataFrame:
 
 
 def _raw_lake(spark: SparkSession, sf: str) -> Lake:
-    """A lake with the raw session tables of every season and race."""
-    rows = stored_laps(spark, sf)
+    """A lake with the raw session tables of every season and race. Laps are dealt to buckets of a driver's race once."""
+    rows = stable_bucketed(views.race_laps(spark, sf, default_buckets(spark)), datasets.DRIVER_KEY, ["lap_number"], placed=True)
     lake = Lake(spark, new_path(spark, "lake"))
 
     texts = views.raw_laps(rows).withColumnsRenamed(
@@ -1187,9 +1187,10 @@ def _raw_lake(spark: SparkSession, sf: str) -> Lake:
     dates = rows.select(*laps.LAP_KEY, "lapstartdate", "driver_number").withColumnsRenamed(
         {"lapstartdate": "LapStartDate", "driver_number": "DriverNumber", "lap_number": "LapNumber"}
     )
-    write_raw_session(lake, "laps", _raw_table(texts.join(dates, ["season", "race", "driver", "LapNumber"])))
-    write_raw_session(lake, "lap_weather", _raw_table(views.race_weather(rows)))
-    write_raw_session(lake, "results", _raw_table(views.race_results(rows)))
+    with stay(spark):
+        write_raw_session(lake, "laps", _raw_table(texts.join(dates, ["season", "race", "driver", "LapNumber"])))
+        write_raw_session(lake, "lap_weather", _raw_table(views.race_weather(rows)))
+        write_raw_session(lake, "results", _raw_table(views.race_results(rows)))
     return lake
 
 

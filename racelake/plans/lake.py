@@ -18,7 +18,8 @@ from pyspark.sql import types as T
 from racelake import schemas
 from racelake.operators.ordered import Past
 from racelake.plans import datasets, laps, results, summaries
-from racelake.sources.bucketed import Layout, default_buckets, read_bucketed, write_bucketed
+from racelake.session import COMPILED, set_inside
+from racelake.sources.bucketed import Layout, default_buckets, layout_of, read_bucketed, stay, write_bucketed
 from racelake.sources.calendar import in_calendar
 from racelake.sources.documents import flatten_results, read_documents, read_rescued
 from racelake.sources.lookup import read_lookup, write_lookup
@@ -32,6 +33,7 @@ SESSION_TABLES = {
     "results": schemas.RAW_RESULTS,
 }
 SESSION = ["season", "race"]
+BUCKET_KEYS = ("race", "driver")
 
 
 class Lake:
@@ -65,7 +67,8 @@ class Lake:
 
     def write_sessions(self, df: DataFrame, layer: str, table: str, partition_by: Sequence[str]) -> None:
         """Replaces the sessions that `df` has rows for."""
-        write_table(df, self.path(layer, table), partition_by, self.fmt, touched_only=True)
+        with set_inside(self.spark, COMPILED):
+            write_table(df, self.path(layer, table), partition_by, self.fmt, touched_only=True)
 
     def write(self, df: DataFrame, layer: str, table: str, partition_by: Sequence[str] = ("season",)) -> None:
         """Replaces the seasons of the run as a whole, or all of them, also where `df` has no rows for them.
@@ -73,11 +76,19 @@ class Lake:
         One job writes all seasons; until it has succeeded, the old table stays.
         """
         path = self.path(layer, table)
-        if not partition_by:
-            write_table(df, path, (), self.fmt)
-            return
-        within = self.seasons if partition_by[0] == "season" else None
-        replace_partitions(df, path, partition_by, self.fmt, within)
+        with set_inside(self.spark, COMPILED):
+            if not partition_by:
+                write_table(df, path, (), self.fmt)
+                return
+            within = self.seasons if partition_by[0] == "season" else None
+            replace_partitions(df, path, partition_by, self.fmt, within)
+
+    def dealt(self, df: DataFrame, layer: str, table: str) -> DataFrame:
+        """`df` dealt to the buckets of a table that `write_by_driver` writes, where it has their keys."""
+        if self.fmt != "parquet" or not {*BUCKET_KEYS} <= {*df.columns}:
+            return df
+        kept = layout_of(self.spark, self.path(layer, table))
+        return df.repartition(kept.buckets if kept else self.buckets, *BUCKET_KEYS)
 
     def write_by_driver(self, df: DataFrame, layer: str, table: str, placed: bool = False) -> None:
         """`write` by season, in buckets of (race, driver). `placed` rows come from such a table and stay put."""
@@ -85,8 +96,9 @@ class Lake:
             self.write(df, layer, table)
             return
         order = ("lap_number",) if "lap_number" in df.columns else ()
-        layout = Layout(self.buckets, ("race", "driver"), order, ("season",))
-        write_bucketed(df, self.path(layer, table), layout, self.seasons, placed)
+        layout = Layout(self.buckets, BUCKET_KEYS, order, ("season",))
+        with set_inside(self.spark, COMPILED):
+            write_bucketed(df, self.path(layer, table), layout, self.seasons, placed)
 
     def read_by_driver(self, layer: str, table: str) -> DataFrame:
         if self.fmt != "parquet":
@@ -117,14 +129,17 @@ def to_bronze(lake: Lake, calendar: DataFrame | None = None, session_type: str =
 
 
 def to_silver(lake: Lake, separator: str | None = ";") -> None:
-    """One plan for all sessions: three scans, two joins, one write."""
+    """One plan for all sessions: three scans, two joins, one write. Laps and weather are dealt to the buckets of the
+    silver table first, so that laps are joined and stored where they are."""
     tables = {
         name: lake.read_optional("bronze", name, laps.normalize_names(lake.spark.createDataFrame([], schema)).schema)
         for name, schema in SESSION_TABLES.items()
         if name != "laps"
     }
-    laps_table = lake.read("bronze", "laps")
-    lake.write_by_driver(laps.silver(laps_table, tables["lap_weather"], tables["results"], separator), "silver", "laps")
+    laps_table, weather = (lake.dealt(df, "silver", "laps") for df in (lake.read("bronze", "laps"), tables["lap_weather"]))
+    silver = laps.silver(laps_table, weather, tables["results"], separator)
+    with stay(lake.spark):
+        lake.write_by_driver(silver, "silver", "laps", placed=True)
 
 
 def to_gold(lake: Lake, carry_over: bool = False, in_order: bool = False) -> None:
@@ -149,12 +164,13 @@ def to_gold(lake: Lake, carry_over: bool = False, in_order: bool = False) -> Non
     team_form = lake.read("gold", "constructor_recent_form")
     lake.write(datasets.race_dataset(drivers, driver_form, team_form), "gold", "prediction_dataset")
     lake.write_by_driver(datasets.lap_history(driver_form, team_form), "gold", "lap_history")
-    lake.write_by_driver(datasets.lap_dataset(silver), "gold", "lap_prediction_dataset", placed=True)
-    ml = lap_rows_for_models(lake, keep_time=in_order)
-    if in_order:
-        write_in_order(ml, lake.path("gold", "lap_ml_table"), datasets.TIME_ORDER, "time_order", ["season"], lake.fmt, lake.seasons)
-    else:
-        lake.write(ml, "gold", "lap_ml_table")
+    with stay(lake.spark):
+        lake.write_by_driver(datasets.lap_dataset(silver), "gold", "lap_prediction_dataset", placed=True)
+        ml = lap_rows_for_models(lake, keep_time=in_order)
+        if in_order:
+            write_in_order(ml, lake.path("gold", "lap_ml_table"), datasets.TIME_ORDER, "time_order", ["season"], lake.fmt, lake.seasons)
+        else:
+            lake.write(ml, "gold", "lap_ml_table")
 
 
 def lap_rows_for_models(lake: Lake, keep_time: bool = False) -> DataFrame:

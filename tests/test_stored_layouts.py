@@ -7,8 +7,8 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from racelake.plans import datasets, results, summaries, training
-from racelake.plans.lake import Lake, lap_rows_for_models, to_gold, write_careers
+from racelake.plans import datasets, lake as lake_plans, results, summaries, training
+from racelake.plans.lake import Lake, lap_rows_for_models, to_gold, to_silver, write_careers
 from racelake.sources.bucketed import Layout, layout_of, read_bucketed, stable_bucketed, write_bucketed
 from racelake.sources.lookup import PART, look_up, read_lookup, write_lookup
 from racelake.sources.ordered_tables import write_in_order
@@ -100,6 +100,42 @@ def test_laps_stay_where_they_are_stored(spark, tmp_path, no_broadcast):
     assert rows(ml) == rows(by_hand) == rows(lake.read("gold", "lap_ml_table")) and ml.count() > 0
 
 
+def test_laps_are_dealt_to_their_buckets_once(spark, tmp_path, no_broadcast, monkeypatch):
+    """Silver laps are joined in the buckets that they are stored in, with Spark's default settings, and by code that is
+    short enough for Java to compile; a table keeps the number of buckets that it has."""
+    key = "spark.sql.requireAllClusterKeysForCoPartition"
+    before, found = spark.conf.get(key), []
+    spark.conf.set(key, "true")
+    try:
+        lake = Lake(spark, str(tmp_path))
+        made = silver(spark).select("season", "race", "driver", F.col("lap_number").alias("lapnumber"), "lap_time_ms")
+        laps = made.withColumnRenamed("lap_time_ms", "laptime").withColumn("laptime", F.col("laptime").cast("string"))
+        lake.write_sessions(laps, "bronze", "laps", ["season", "race"])
+        weather = {c: F.lit(1.0) for c in ("airtemp", "humidity", "pressure", "tracktemp", "winddirection", "windspeed")}
+        seen = made.withColumnRenamed("lapnumber", "lap_number").drop("lap_time_ms").withColumns({**weather, "rainfall": F.lit(False)})
+        lake.write_sessions(seen, "bronze", "lap_weather", ["season", "race"])
+        write = lake_plans.write_bucketed
+
+        def spy(df, *rest):
+            found.append((plan(df), spark.conf.get("spark.sql.codegen.hugeMethodLimit")))
+            write(df, *rest)
+
+        monkeypatch.setattr(lake_plans, "write_bucketed", spy)
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", "65535")
+        to_silver(lake)
+        to_silver(Lake(spark, str(tmp_path), buckets=lake.buckets + 3))
+        assert spark.conf.get(key) == "true" and spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "65535"
+    finally:
+        spark.conf.set(key, before)
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    for text, limit in found:
+        exchanges = re.findall(r"Exchange hashpartitioning\((.*?)\), ", text)
+        assert len(exchanges) == 2 and {re.sub(r"#\d+", "", e) for e in exchanges} == {f"race, driver, {lake.buckets}"}
+        assert limit == "8000"
+    stored = lake.read_by_driver("silver", "laps")
+    assert stored.count() == made.count() and stored.filter("air_temp = 1.0").count() == made.count()
+
+
 def test_history_of_drivers_with_two_teams_and_unknown_ones(spark):
     form = spark.createDataFrame(
         [(1, "r", "a", "x", 1.0), (1, "r", "a", "y", 2.0), (1, "r", "b", None, 3.0), (1, "r", None, "x", 4.0)],
