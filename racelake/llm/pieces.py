@@ -11,11 +11,12 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from os.path import commonprefix
 from pathlib import Path
+from struct import Struct
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -28,8 +29,12 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 _NORMAL, _UNKNOWN, _BYTE, _USER = 1, 2, 6, 4
 _BPE, _UNIGRAM = 2, 1
+#: An id as the bytes of an int32.
+_ID = Struct("<i").pack
 #: Text encoded at a time.
 SLICE_BYTES = 4 << 20
+#: Ids decoded at a time.
+SLICE_IDS = 1 << 20
 #: Words whose pieces a task remembers, and pairs of pieces that a worker does; beyond, it starts anew.
 REMEMBERED, REMEMBERED_PAIRS = 400_000, 250_000
 
@@ -63,6 +68,7 @@ class Pieces:
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece goes on after a word's end, so words can't be encoded one by one")
         self.longest = max(map(len, self.ids), default=1)
+        self.packed = {piece: _ID(i) for piece, i in self.ids.items()}
         # A character without a piece of its own never merges, so it is a unit by itself.
         known = "".join(re.escape(p) for p in self.ids if len(p) == 1 and p != MARK)
         self.units = re.compile(f"{MARK}*[{known}]+|{MARK}+|." if known else ".", re.DOTALL)
@@ -93,39 +99,68 @@ class Pieces:
             found = self._apart[key] = self.merged(left + right) == [left, right]
         return found
 
-    def _extend(self, word: str, states: list[tuple[float, str]]) -> None:
-        """Adds the forward state of the next prefix of `word`; `states[0]` is that of the empty one."""
-        end = len(states)
+    def _last(self, word: str, end: int, lasts: list[str]) -> str:
+        """The last piece of the encoding of `word[:end]` by a BPE model, where `lasts` are those of shorter prefixes.
+
+        One piece fits. Most often it is that of the prefix before with one character more, which is tried first.
+        """
+        ids, remembered = self.ids, self._apart.get
+        start = end - len(lasts[-1]) - 1
+        piece = word[start:end]
+        if start and piece in ids and remembered((lasts[start], piece)):
+            return piece
+        for start in range(end - 1, max(0, end - self.longest) - 1, -1):
+            piece = word[start:end]
+            if piece not in ids:
+                continue
+            if not start:
+                if self.merged(piece) == [piece]:
+                    return piece
+                continue
+            fits = remembered((lasts[start], piece))
+            if fits or (fits is None and self.apart(lasts[start], piece)):
+                return piece
+        return word[end - 1 : end]
+
+    def _best(self, word: str, end: int, lasts: list[str], scores: list[float]) -> tuple[float, str]:
+        """The last piece of the best encoding of `word[:end]` by a unigram model, and its score."""
         best: tuple[float, str] | None = None
-        # In a BPE model one piece fits, most often a short one; in a unigram model all are compared.
         for start in range(end - 1, max(0, end - self.longest) - 1, -1):
             piece = word[start:end]
             i = self.ids.get(piece)
-            if i is None:
-                continue
-            before, last = states[start]
-            if self.is_bpe:
-                if self.apart(last, piece) if start else self.merged(piece) == [piece]:
-                    best = (0.0, piece)
-                    break
-            elif best is None or before + self.score[i] > best[0]:
-                best = (before + self.score[i], piece)
-        states.append(best or (states[-1][0] + self.lowest, word[end - 1 : end]))
+            if i is not None and (best is None or scores[start] + self.score[i] > best[0]):
+                best = (scores[start] + self.score[i], piece)
+        return best or (scores[-1] + self.lowest, word[end - 1 : end])
 
     def encode_words(self, words: Iterable[str]) -> Iterator[tuple[str, bytes]]:
-        """Pieces of distinct words, as int32 bytes. Sorted words are the leaves of a trie walked depth-first."""
-        before, states = "", [(0.0, "")]
+        """Pieces of distinct words, as int32 bytes. Sorted words are the leaves of a trie walked depth-first; `lasts` and
+        `scores` are the forward states of a word's prefixes."""
+        before, lasts, scores = "", [""], [0.0]
         for word in sorted(words):
-            del states[len(commonprefix((before, word))) + 1 :]
-            while len(states) <= len(word):
-                self._extend(word, states)
-            before, end, found = word, len(word), []
+            shared = 0
+            for x, y in zip(before, word):
+                if x != y:
+                    break
+                shared += 1
+            del lasts[shared + 1 :]
+            size = len(word)
+            if self.is_bpe:
+                for end in range(shared + 1, size + 1):
+                    lasts.append(self._last(word, end, lasts))
+            else:
+                del scores[shared + 1 :]
+                for end in range(shared + 1, size + 1):
+                    score, last = self._best(word, end, lasts, scores)
+                    lasts.append(last)
+                    scores.append(score)
+            before, end, found = word, size, []
             while end:
-                piece = states[end][1]
-                i = self.ids.get(piece)
-                found += [i] if i is not None else [self.bytes.get(b, self.unknown) for b in reversed(piece.encode())]
+                piece = lasts[end]
+                known = self.packed.get(piece)
+                found.append(known if known is not None else b"".join([_ID(self.bytes.get(b, self.unknown)) for b in piece.encode()]))
                 end -= len(piece)
-            yield word, np.array(found[::-1], "<i4").tobytes()
+            found.reverse()
+            yield word, b"".join(found)
 
     def encode(self, texts: list[str | None]) -> list[bytes | None]:
         split = [
@@ -134,16 +169,20 @@ class Pieces:
         ]
         if len(self.memory) > REMEMBERED:
             self.memory.clear()
-        new = {u for units in split if units for u in units} - self.memory.keys()
+        new = set().union(*filter(None, split)) - self.memory.keys()
         self.memory.update(self.encode_words(new))
         get = self.memory.__getitem__
         return [None if units is None else b"".join(map(get, units)) for units in split]
 
-    def decode(self, ids: np.ndarray | None) -> str | None:
-        if ids is None:
-            return None
-        joined = b"".join(map(self.decoded.__getitem__, ids.tolist()))
-        return joined.decode("utf-8", "replace")[1 if self.prefixed and joined[:1] == b" " else 0 :]
+    def decode(self, lists: pa.ListArray) -> list[str | None]:
+        """The texts of lists of ids, null for null."""
+        sizes = lists.value_lengths().fill_null(0).to_numpy()
+        parts = pa.array(self.decoded, pa.binary()).take(lists.flatten())
+        if parts.null_count:
+            raise ValueError("an id is null")
+        offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+        joined = pc.binary_join(pa.ListArray.from_arrays(offsets, parts, mask=lists.is_null()), b"")
+        return [None if b is None else b.decode("utf-8", "replace")[1 if self.prefixed and b[:1] == b" " else 0 :] for b in joined.to_pylist()]
 
 
 @lru_cache(2)
@@ -197,9 +236,11 @@ def decode_pieces(df: DataFrame, ids: str = "ids", text: str = "decoded", model:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = pieces_of(shared.value)
         for batch in batches:
-            column = batch.column(at)
-            # The values of one list are looked at at a time.
-            texts = [codec.decode(x.values.to_numpy() if x.is_valid else None) for x in column]
-            yield pa.record_batch([*batch.columns, pa.array(texts, pa.string())], names=shape.names)
+            # Lists that are longer than this together are looked at one after another.
+            upto = np.cumsum(batch.column(at).value_lengths().fill_null(0).to_numpy(), dtype=np.int64) // SLICE_IDS
+            for rows in np.split(np.arange(batch.num_rows), np.flatnonzero(np.diff(upto)) + 1):
+                part = batch.slice(int(rows[0]) if len(rows) else 0, len(rows))
+                texts = codec.decode(part.column(at))
+                yield pa.record_batch([*part.columns, pa.array(texts, pa.string())], names=shape.names)
 
     return df.mapInArrow(run, shape)

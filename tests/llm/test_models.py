@@ -7,6 +7,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -140,6 +141,19 @@ def test_language_model_without_training_rows_and_rows(spark):
     assert interpolation.score_texts(docs.limit(0), F.lit(True), F.lit(True)).count() == 0
 
 
+def test_ids_are_decoded_list_by_list():
+    """Lists of a slice are decoded together: null, empty and sliced ones, and bytes that are no text alone."""
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    codec = pieces.Pieces(library.serialized_model_proto())
+    texts = ["zero", "a b  c", "", " lead", "naïve \u4e16\n\ttab", "hello hello"]
+    ids = [None, *[library.encode(t) for t in texts], [codec.bytes[0xE4]]]
+    lists = pa.array(ids, pa.list_(pa.int32()))
+    assert codec.decode(lists) == [None, *texts, "\ufffd"] and codec.decode(lists.slice(2, 3)) == texts[1:4]
+    assert codec.decode(lists.slice(0, 0)) == []
+    with pytest.raises(ValueError, match="null"):
+        codec.decode(pa.array([[1, None]], pa.list_(pa.int32())))
+
+
 def test_pieces_equal_the_library_and_round_trip(spark):
     library = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
     docs = documents(spark).unionByName(spark.createDataFrame(
