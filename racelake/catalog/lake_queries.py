@@ -12,6 +12,7 @@ from racelake.catalog.queries import (
     TEAM_FORM_MEANS,
     _judged,
     _requests,
+    joined_race_laps,
     query,
     rounded,
     rounded_sql,
@@ -21,8 +22,9 @@ from racelake.catalog.queries import (
 from racelake.operators.metrics import binary_metrics, class_report, confusion_matrix
 from racelake.operators.relations import union_by_position
 from racelake.plans import datasets, laps, results, training
-from racelake.plans.lake import Lake, run_season_results, to_gold
+from racelake.plans.lake import BUCKET_KEYS, Lake, run_season_results, to_gold
 from racelake.sources import calendar, documents
+from racelake.sources.bucketed import stable_bucketed, stay
 from racelake.sources.lookup import read_lookup, write_lookup
 from racelake.sources.ordered_tables import write_in_order
 from racelake.sources.scratch import new_path, stable
@@ -74,11 +76,14 @@ for _who, _entity in (("driver", "driver"), ("constructor", "team_name")):
 
 def _carried_lake(spark, sf) -> Lake:
     lake = Lake(spark, new_path(spark, "lake"))
-    silver = silver_race_laps(spark, sf)
-    lake.write_by_driver(silver, "silver", "laps")
+    # Laps are dealt to the lake's buckets once, before they are numbered, and joined in its own write.
+    with stay(spark):
+        lake.write_by_driver(joined_race_laps(spark, sf, BUCKET_KEYS), "silver", "laps", placed=True)
     to_gold(lake, carry_over=True)
     one = lake.of([1995])
-    one.write_by_driver(silver.filter(f"NOT ({_STRUCK})"), "silver", "laps")
+    again = stable_bucketed(one.read_by_driver("silver", "laps").filter(f"NOT ({_STRUCK})"), BUCKET_KEYS, placed=True)
+    with stay(spark):
+        one.write_by_driver(again, "silver", "laps", placed=True)
     to_gold(one, carry_over=True)
     return lake
 

@@ -6,7 +6,7 @@ are stored in between, as the stages of a lake are.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorSlicer
@@ -67,10 +67,14 @@ def stored_laps(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
 def silver_race_laps(spark: SparkSession, sf: str) -> DataFrame:
     """Stored in buckets of a driver's race. Laps are dealt to them once, before they are numbered; joins with weather and
     results, and windows over what is returned, leave them there."""
-    rows = stable_bucketed(views.race_laps(spark, sf, default_buckets(spark)), datasets.DRIVER_KEY, ["lap_number"], placed=True)
+    return stable_bucketed(joined_race_laps(spark, sf, datasets.DRIVER_KEY), datasets.DRIVER_KEY, ["lap_number"], placed=True)
+
+
+def joined_race_laps(spark: SparkSession, sf: str, keys: Sequence[str]) -> DataFrame:
+    """What `silver_race_laps` stores, from laps that are stored in buckets of `keys`."""
+    rows = stable_bucketed(views.race_laps(spark, sf, default_buckets(spark), keys), keys, ["lap_number"], placed=True)
     joined = laps.with_results(laps.with_weather(rows, views.race_weather(rows)), views.race_results(rows))
-    silver = joined.drop("rainfall").withColumnsRenamed(laps.SILVER_NAMES)
-    return stable_bucketed(silver, datasets.DRIVER_KEY, ["lap_number"], placed=True)
+    return joined.drop("rainfall").withColumnsRenamed(laps.SILVER_NAMES)
 
 
 def driver_summary(spark: SparkSession, sf: str) -> DataFrame:

@@ -5,6 +5,8 @@ lineitem: supplier = driver, nation = team, month = race. orders: customer = dri
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,9 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def race_laps(spark: SparkSession, sf_dir: str, buckets: int | None = None) -> DataFrame:
-    """With `buckets`, rows are dealt by season, race and driver to so many partitions before they are numbered: their only
-    exchange, as the drivers' teams (two numbers for each) are broadcast."""
+def race_laps(
+    spark: SparkSession, sf_dir: str, buckets: int | None = None, keys: Sequence[str] = ("season", "race", "driver")
+) -> DataFrame:
+    """With `buckets`, rows are dealt by `keys` (of season, race and driver) to so many partitions before they are numbered:
+    their only exchange, as the drivers' teams (two numbers for each) are broadcast."""
     items = table(spark, sf_dir, "lineitem").select(
         F.year("l_shipdate").alias("season"), F.month("l_shipdate").alias("month"),
         "l_suppkey", "l_partkey", "l_orderkey", "l_linenumber", "l_shipdate", "l_returnflag", "l_linestatus",
@@ -32,7 +36,7 @@ def race_laps(spark: SparkSession, sf_dir: str, buckets: int | None = None) -> D
     by = ["season", "month", "l_suppkey"]
     if buckets:
         by = ["season", "race", "driver"]
-        known = known.withColumns({"race": race, "driver": driver}).drop("month").repartition(buckets, *by)
+        known = known.withColumns({"race": race, "driver": driver}).drop("month").repartition(buckets, *keys)
         race, driver = F.col("race"), F.col("driver")
     laps = add_row_number(known, by, order, "lap")
     n, line = F.col("lap").cast("int"), F.col("l_linenumber")

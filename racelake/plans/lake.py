@@ -70,10 +70,13 @@ class Lake:
         with set_inside(self.spark, COMPILED):
             write_table(df, self.path(layer, table), partition_by, self.fmt, touched_only=True)
 
-    def write(self, df: DataFrame, layer: str, table: str, partition_by: Sequence[str] = ("season",)) -> None:
+    def write(
+        self, df: DataFrame, layer: str, table: str, partition_by: Sequence[str] = ("season",), placed: bool = False
+    ) -> None:
         """Replaces the seasons of the run as a whole, or all of them, also where `df` has no rows for them.
 
-        One job writes all seasons; until it has succeeded, the old table stays.
+        One job writes all seasons; until it has succeeded, the old table stays. `placed` rows come from buckets and are
+        written from there, as many files as buckets for each season, and not exchanged.
         """
         path = self.path(layer, table)
         with set_inside(self.spark, COMPILED):
@@ -81,7 +84,7 @@ class Lake:
                 write_table(df, path, (), self.fmt)
                 return
             within = self.seasons if partition_by[0] == "season" else None
-            replace_partitions(df, path, partition_by, self.fmt, within)
+            replace_partitions(df, path, partition_by, self.fmt, within, placed=placed)
 
     def dealt(self, df: DataFrame, layer: str, table: str) -> DataFrame:
         """`df` dealt to the buckets of a table that `write_by_driver` writes, where it has their keys."""
@@ -170,7 +173,7 @@ def to_gold(lake: Lake, carry_over: bool = False, in_order: bool = False) -> Non
         if in_order:
             write_in_order(ml, lake.path("gold", "lap_ml_table"), datasets.TIME_ORDER, "time_order", ["season"], lake.fmt, lake.seasons)
         else:
-            lake.write(ml, "gold", "lap_ml_table")
+            lake.write(ml, "gold", "lap_ml_table", placed=lake.fmt == "parquet")
 
 
 def lap_rows_for_models(lake: Lake, keep_time: bool = False) -> DataFrame:

@@ -69,14 +69,19 @@ def read_all(spark: SparkSession, paths: Sequence[str], fmt: str = "parquet") ->
 
 
 def write_table(
-    df: DataFrame, path: str, partition_by: Sequence[str] = (), fmt: str = "parquet", touched_only: bool = False
+    df: DataFrame,
+    path: str,
+    partition_by: Sequence[str] = (),
+    fmt: str = "parquet",
+    touched_only: bool = False,
+    placed: bool = False,
 ) -> None:
     """Replaces the table at `path`, or with `touched_only` just the partitions that `df` has rows for.
 
     Partitioned rows are brought together first, so that a partition becomes few files; a partition too large
-    for one task is split by its size.
+    for one task is split by its size. `placed` rows are written from where they are.
     """
-    if partition_by:
+    if partition_by and not placed:
         df = df.hint("rebalance", *partition_by)
     writer = df.write.format(fmt).mode("overwrite")
     if partition_by:
@@ -93,13 +98,14 @@ def replace_partitions(
     fmt: str = "parquet",
     within: Sequence | None = None,
     write: Callable[[DataFrame], None] | None = None,
+    placed: bool = False,
 ) -> None:
     """Replaces the partitions of the table at `path` whose first column is in `within`, or all of them, also those
     that `df` has no rows for.
 
     One job computes and writes all rows. They stay aside until it has succeeded and are then put in place of the old
     partitions, so a run that fails or is killed before leaves the old table as it was. Partitions that got no file are
-    emptied after that. `write` may do the writing, replacing the partitions it has rows for.
+    emptied after that. `write` may do the writing, replacing the partitions it has rows for; `placed` as in `write_table`.
     """
     spark = df.sparkSession
     column = partition_by[0]
@@ -113,7 +119,7 @@ def replace_partitions(
     if within is not None:
         df = df.filter(F.col(column).isin(list(within)))
     before = stored_files(spark, path, fmt)
-    (write or (lambda rows: write_table(rows, path, partition_by, fmt, touched_only=True)))(df)
+    (write or (lambda rows: write_table(rows, path, partition_by, fmt, touched_only=True, placed=placed)))(df)
     untouched = before & stored_files(spark, path, fmt)
     folders = {file.rsplit("/", 1)[0] for file in untouched}
     wanted = None if within is None else {f"{column}={v}" for v in within}

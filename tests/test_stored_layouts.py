@@ -389,3 +389,38 @@ def test_laps_are_dealt_once(spark, tmp_path):
     facts = rows.groupBy(*by).agg(F.count("*").alias("n"), F.max("lap_number").alias("last"), F.count("last_lap_time_ms").alias("known"))
     assert facts.filter("n <> last OR known <> n - 1").count() == 0 and facts.count() > 7
     assert spark.conf.get("spark.sql.sources.bucketing.autoBucketedScan.enabled") == "true"
+
+
+def test_a_carried_lake_exchanges_laps_once(spark, tmp_path, no_broadcast, monkeypatch):
+    """Laps are dealt to the lake's buckets before they are numbered, also where a season comes again; silver laps and the
+    lap table for models are written from there."""
+    from racelake.catalog import lake_queries
+    from racelake.sources import tables
+
+    spark.range(600).selectExpr(
+        "date_add(DATE'1995-03-01', cast(id % 3 * 365 + id % 40 AS int)) AS l_shipdate", "id % 7 AS l_suppkey", "id AS l_partkey", "id AS l_orderkey",
+        "cast(id % 7 + 1 AS int) AS l_linenumber", "'R' AS l_returnflag", "'F' AS l_linestatus", "cast(id % 50 AS double) AS l_quantity",
+        "cast(id * 10 AS double) AS l_extendedprice", "0.05D AS l_discount", "0.02D AS l_tax",
+    ).write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.range(7).selectExpr("id AS s_suppkey", "id % 2 AS s_nationkey").write.parquet(str(tmp_path / "supplier.parquet"))
+    spark.sql("SELECT 0L AS n_nationkey, 'A' AS n_name UNION ALL SELECT 1L, 'B'").write.parquet(str(tmp_path / "nation.parquet"))
+    moved = {}
+
+    def spied(write):
+        def spy(df, path, *rest, **named):
+            placed = named.get("placed", rest[-1] if rest else False) is True
+            moved.setdefault(path.split("lake-")[-1].partition("/")[2], []).append((placed, plan(df).count("REPARTITION")))
+            write(df, path, *rest, **named)
+
+        return spy
+
+    monkeypatch.setattr(lake_plans, "write_bucketed", spied(lake_plans.write_bucketed))
+    monkeypatch.setattr(tables, "write_table", spied(tables.write_table))
+    lake = lake_queries._carried_lake(spark, str(tmp_path))
+    for table in ("silver/laps", "gold/lap_prediction_dataset", "gold/lap_ml_table"):
+        assert moved[table] == [(True, 0)] * 2
+    stored = lake.read("silver", "laps")
+    assert stored.count() == 600 - stored.sparkSession.read.parquet(str(tmp_path / "lineitem.parquet")).filter(
+        "year(l_shipdate) = 1995 and month(l_shipdate) = 3"
+    ).count()
+    assert rows(lake.read("gold", "lap_ml_table")) == rows(lap_rows_for_models(lake))
