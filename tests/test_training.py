@@ -176,3 +176,34 @@ def test_features_name_no_slots(spark, tmp_path, dataset):
     estimator.inner = type("Spy", (), {"fit": lambda self, df: seen.append(df.rdd.getNumPartitions())})()
     estimator.fit(encoder.transform(known.repartition(40)))
     assert 1 <= seen[0] <= spark.sparkContext.defaultParallelism
+
+
+def test_encoder_keeps_keys_off_the_driver(spark, tmp_path, monkeypatch):
+    """Slots are those of Spark's stages, also with ties, nulls, numbers as keys and a text without any value; keys are
+    counted, ordered and looked up as tables, and the driver gets one row for each text."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import StringIndexer, VectorAssembler
+
+    from racelake.operators.encode import SparseEncoder, SparseEncoderModel, one_hot_stages
+
+    texts = ["a", "b", "c"]
+    made = spark.range(300).selectExpr(
+        "concat('k', id % 37) AS a", "cast(id % 5 AS int) AS b", "if(id % 4 = 0, null, concat('é', id * id % 11)) AS c",
+        "cast(id AS double) AS n", "cast(null AS string) AS none",
+    )
+    known, rows = made.filter("n < 200"), made.withColumn("a", F.when(F.col("n") % 7 != 0, F.col("a")))
+    plain = Pipeline(stages=[*one_hot_stages(texts), VectorAssembler(inputCols=[*[f"{c}_vector" for c in texts], "n"], outputCol="v")])
+    wanted = {r.n: r.v for r in plain.fit(known).transform(rows).collect()}
+
+    def gathered(*_):
+        raise AssertionError("keys come to the driver")
+
+    monkeypatch.setattr(StringIndexer, "_fit", gathered)
+    model = SparseEncoder(texts, ["n"], "v").fit(known)
+    assert model.sizes == [37, 5, 6]
+    assert {r.n: r.v for r in model.transform(rows).collect()} == wanted
+    model.write().save(str(tmp_path / "encoder"))
+    again = SparseEncoderModel.load(str(tmp_path / "encoder")).transform(rows)
+    assert {r.n: r.v for r in again.collect()} == wanted and again.columns == [*rows.columns, "v"]
+    empty = SparseEncoder(["none"], ["n"], "v").fit(known)
+    assert empty.sizes == [0] and {len(r.v) for r in empty.transform(rows).collect()} == {1}
