@@ -207,3 +207,35 @@ def test_encoder_keeps_keys_off_the_driver(spark, tmp_path, monkeypatch):
     assert {r.n: r.v for r in again.collect()} == wanted and again.columns == [*rows.columns, "v"]
     empty = SparseEncoder(["none"], ["n"], "v").fit(known)
     assert empty.sizes == [0] and {len(r.v) for r in empty.transform(rows).collect()} == {1}
+
+
+def test_forest_levels_read_short_rows(spark, monkeypatch):
+    """A level reads each row's slots and bins as bytes, and counts of nodes are not summed again below the roots."""
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.ml.linalg import SparseVector
+
+    from racelake.operators import forest
+
+    seen = []
+    histograms = forest.SparseForest._histograms
+
+    def spy(self, rows, coding, nodes, subsets, begin):
+        sums = histograms(self, rows, coding, nodes, subsets, begin)
+        seen.append((dict(rows.dtypes), begin, sums.filter(F.col("feature") < 0).count()))
+        return sums
+
+    monkeypatch.setattr(forest.SparseForest, "_histograms", spy)
+    data = [(int(i % 4 > 1), SparseVector(9, {i % 4: 1.0, 8: float(i % 10)})) for i in range(200)]
+    model = forest.SparseForest("y", "v", trees=3, depth=3, seed=1, memory_mb=64, features="all").fit(spark.createDataFrame(data, ["y", "v"]))
+    assert {k: v for k, v in seen[0][0].items() if k not in ("row", "label")} == {"keys": "binary", "bins": "binary"}
+    assert seen[0][2] == 3 and len(seen) > 1 and all(n == 0 for _, begin, n in seen if begin)
+    inner = np.flatnonzero(model.nodes.left >= 0)
+    assert (model.nodes.counts[inner] == model.nodes.counts[model.nodes.left[inner]] + model.nodes.counts[model.nodes.left[inner] + 1]).all()
+
+    keys = np.array([[5, -1, 7], [6, -1, -1]], dtype=np.int32)
+    bins = np.array([[1, 2], [3, 4], [5, 6]], dtype=np.uint8)
+    packed = pa.record_batch(list(forest._packed(keys, bins)), names=["keys", "bins"])
+    for part, k, b in ((packed, keys, bins), (packed.slice(1), keys[:1, 1:], bins[1:]), (packed.slice(0, 0), keys[:1, :0], bins[:0, :0])):
+        got = forest._unpacked(part.column("keys"), part.column("bins"))
+        assert got[0].tolist() == k.tolist() and got[1].tolist() == b.tolist()
